@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafseason.llm.common import batches_by_bytes, once, ship
+from leafseason.llm.common import batches_by_bytes, once, ship, small_batches
 
 ship(__name__)
 
@@ -60,18 +60,51 @@ def _patterns(path: str):
     return regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None, regex.compile(SPLIT)
 
 
-def _press(data: bytes) -> bytes:
-    return zstandard.compress(data, 3)
-
-
 def _pack(lengths: np.ndarray, body: bytes) -> bytes:
-    return _press(struct.pack("<q", len(lengths)) + lengths.astype("<u4").tobytes() + body)
+    """Lengths, as bytes where they fit, and what they divide."""
+    width = 1 if not len(lengths) or lengths.max() < 256 else 4
+    return zstandard.compress(struct.pack("<qq", len(lengths), width) + lengths.astype(f"<u{width}").tobytes() + body, 6)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, bytes]:
     data = zstandard.decompress(data)
-    n = struct.unpack_from("<q", data)[0]
-    return np.frombuffer(data, "<u4", n, 8), data[8 + 4 * n :]
+    n, width = struct.unpack_from("<qq", data)
+    return np.frombuffer(data, f"<u{width}", n, 16).astype(np.int64), data[16 + width * n :]
+
+
+def _by_byte(x: np.ndarray, width: int) -> bytes:
+    """Little-endian integers with all first bytes first, which compress better."""
+    return x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _from_bytes(data: bytes | memoryview, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+#: Ranks below DIRECT take one byte of a block's flow, others a byte and two more; BLOCK_WORDS ranks can be written.
+DIRECT = 192
+BLOCK_WORDS = DIRECT + (256 - DIRECT) * 65536
+
+
+def _write_flow(head: bytes, rank: np.ndarray, places: np.ndarray) -> bytes:
+    """A block's header, the rank of each distinct word in class order, and the ranks of its words by position."""
+    far = rank >= DIRECT
+    rest = rank[far] - np.uint32(DIRECT)
+    first = rank.astype(np.uint8)
+    first[far] = DIRECT + (rest >> np.uint32(16))
+    sizes = struct.pack("<qqq", len(head), len(places), len(rank))
+    return zstandard.compress(sizes + head + _by_byte(places, 4) + first.tobytes() + _by_byte(rest & np.uint32(65535), 2), 3)
+
+
+def _read_flow(body: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    data = memoryview(zstandard.decompress(body))
+    a, b, c = struct.unpack_from("<qqq", data)
+    a, b = 24 + a, 24 + a + 4 * b
+    first = np.frombuffer(data[b : b + c], np.uint8)
+    rank = first.astype(np.uint32)
+    far = first >= DIRECT
+    rank[far] = ((rank[far] - np.uint32(DIRECT)) << np.uint32(16)) + _from_bytes(data[b + c :], 2) + np.uint32(DIRECT)
+    return bytes(data[24:a]), _from_bytes(data[a:b], 4), rank
 
 
 def split_blocks(batches: Iterator[pa.RecordBatch], path: str, classes: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -96,12 +129,11 @@ def split_blocks(batches: Iterator[pa.RecordBatch], path: str, classes: int, blo
         # Words are numbered by class and then by text, so that a class's pack holds neighbours that compress well.
         order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
         order = order[np.argsort(cls[order], kind="stable")]
-        new = np.empty(len(texts), np.uint32)
-        new[order] = np.arange(len(texts), dtype=np.uint32)
-        flow = new[np.concatenate(places)] if places else np.zeros(0, np.uint32)
-        by_byte = flow.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        head = json.dumps([ids, sizes]).encode()
-        rows = [(home, 0, block, -1, _press(struct.pack("<q", len(head)) + head + by_byte))]
+        flow = np.concatenate(places)
+        rank = np.empty(len(texts), np.uint32)
+        rank[np.argsort(-np.bincount(flow, minlength=len(texts)), kind="stable")] = np.arange(len(texts), dtype=np.uint32)
+        body = _write_flow(json.dumps([ids, sizes]).encode(), rank[flow], rank[order])
+        rows = [(home, 0, block, -1, body)]
         cls = cls[order]
         edges = np.flatnonzero(np.diff(cls, prepend=-1, append=-1)).tolist()
         for a, b in zip(edges, edges[1:]):  # noqa: B905
@@ -110,7 +142,7 @@ def split_blocks(batches: Iterator[pa.RecordBatch], path: str, classes: int, blo
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["target", "kind", "block", "class", "body"])
 
-    for batch in batches_by_bytes(batches, "__text", block_bytes):
+    for batch in batches_by_bytes(batches, "__text", 4 << 20):
         for i, text in zip(batch.column("__id").to_pylist(), batch.column("__text").to_pylist(), strict=True):
             found: list[str] = []
             for k, part in enumerate(special.split(text) if special and text else [text or ""]):
@@ -120,7 +152,7 @@ def split_blocks(batches: Iterator[pa.RecordBatch], path: str, classes: int, blo
             sizes.append(len(found))
             digest.update(f"{i} {text}\0".encode())
             held += len(text or "")
-            if held >= block_bytes:
+            if held >= block_bytes or len(numbers) >= BLOCK_WORDS // 2:
                 yield packed()
                 numbers, ids, sizes, places, held, digest = {}, [], [], [], 0, hashlib.blake2b(digest_size=8)
     if ids:
@@ -129,7 +161,8 @@ def split_blocks(batches: Iterator[pa.RecordBatch], path: str, classes: int, blo
 
 def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Encode each distinct word of a class once; rows come sorted by class. Blocks pass through."""
-    tokenizer = _tokenizer(path)[0]
+    tokenizer, _, pieces = _tokenizer(path)
+    width = 2 if len(pieces) <= 65536 else 4
     known: dict[bytes, bytes] = {}
     at = None
     names = ["target", "kind", "block", "class", "body"]
@@ -145,9 +178,9 @@ def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
                 for k in range(0, len(fresh), 4096):
                     piece = fresh[k : k + 4096]
                     for w, e in zip(piece, tokenizer.encode_batch_fast([w.decode() for w in piece], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
+                        known[w] = np.array(e.ids, f"<u{width}").tobytes()
                 out = [known[w] for w in own]
-                body = _pack(np.fromiter((len(x) >> 2 for x in out), np.int64, len(out)), np.frombuffer(b"".join(out), np.uint8).reshape(-1, 4).T.tobytes())
+                body = _pack(np.fromiter((len(x) // width for x in out), np.int64, len(out)), b"".join(out))
                 target, kind = zlib.crc32(block.encode()), 2
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((target, kind, block, cls, body), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=names)
 
@@ -155,18 +188,20 @@ def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
 def join_positions(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Put ids back at the words' positions and decode them; rows come sorted by block, kind and class."""
     pieces = _tokenizer(path)[2]
+    width = 2 if len(pieces) <= 65536 else 4
 
     def finished(body: bytes, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        data = zstandard.decompress(body)
-        head = struct.unpack_from("<q", data)[0]
-        doc_ids, sizes = json.loads(data[8 : 8 + head])
-        flow = np.ascontiguousarray(np.frombuffer(data, np.uint8, -1, 8 + head).reshape(4, -1).T).view("<u4").ravel()
+        head, order, flow = _read_flow(body)
+        doc_ids, sizes = json.loads(head)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        flow = place[flow]
         lengths: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
         for pack in packs:
             n, ids = _unpack(pack)
             lengths.append(n)
-            tokens.append(np.ascontiguousarray(np.frombuffer(ids, np.uint8).reshape(4, -1).T).view("<u4").ravel())
+            tokens.append(np.frombuffer(ids, f"<u{width}"))
         n = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         every = np.concatenate(tokens).tolist() if tokens else []
         ends = np.cumsum(n).tolist()
@@ -203,13 +238,14 @@ def join_positions(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool)
         yield from finished(body, packs)
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, classes: int | None = None, block_bytes: int = 16 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, classes: int | None = None, block_bytes: int = 32 << 20) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, on demand, ids and decoded text of every row.
 
     The tokenizer file must be readable on every executor. classes: number of hash classes of words, by default the
     number of shuffle partitions.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     classes = classes or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     packs = source.mapInArrow(lambda b: split_blocks(b, path, classes, block_bytes), PACKS)

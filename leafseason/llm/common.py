@@ -48,6 +48,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Let no Arrow batch to Python exceed size bytes by more than a row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(name, None) or ""
+    if not said or said[-1] != "b" or int(said[:-1]) > size:
+        spark.conf.set(name, f"{size}b")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text is divisible by 5; a null id counts as the empty text, which is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafseason.llm.common import once, ship
+from leafseason.llm.common import batches_by_bytes, once, ship, small_batches
 
 ship(__name__)
 
@@ -34,7 +34,7 @@ class WordHashes(dict):
     """XXH64 of words, kept for the words met last."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -115,7 +115,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in OUT.split(", ")]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
     rows: list[tuple] = []
-    for batch in batches:
+    for batch in batches_by_bytes(batches, "text", 4 << 20):
         for i, guest, text in zip(batch.column("id").to_pylist(), batch.column("guest").to_pylist(), batch.column("text").to_pylist(), strict=True):
             value = low_bits(shingle_hashes(text))
             if before is not None:
@@ -151,6 +151,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranges, one for each shuffle partition, and each range gets the first document of the following range as a guest.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63) + 1))
     source = docs.select(F.col(id_col).cast("long").alias("id"), rank.alias("rank"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

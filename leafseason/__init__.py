@@ -1,0 +1 @@
+"""Vegetation time series of satellite scenes as Spark DataFrames."""

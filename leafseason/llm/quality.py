@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafseason.llm.common import held_out, materialise, ship, text_bytes
+from leafseason.llm.common import held_out, materialise, ship, small_batches, text_bytes
 
 ship(__name__)
 
@@ -140,6 +140,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, bar: float = 0.3) -> DataFrame:
     """id, held_out, score and predicted (1 from `bar` on) of every row of docs, learnt from labels (id_col, label_col)."""
+    small_batches(docs.sparkSession)
     rows = materialise(document_statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("y is not null")
     known = known.where(~held_out(F.col("id")))

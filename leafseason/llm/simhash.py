@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafseason.llm.common import materialise, ship, text_bytes
+from leafseason.llm.common import materialise, ship, small_batches, text_bytes
 from leafseason.llm.components import connected_components
 
 ship(__name__)
@@ -156,22 +156,131 @@ def links(distinct: DataFrame, radius: int = 2, parts: int = 4) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, parts: int = 4) -> DataFrame:
     """(fp, id, key, component) of every row of docs; component is the smallest id of the row's class."""
+    small_batches(docs.sparkSession)
     made = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = materialise(made.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = materialise(connected_components(links(nodes, radius, parts)), "roots").withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp")
+    return _classes(made, nodes, links(nodes, radius, parts))
+
+
+def _classes(made: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = materialise(connected_components(edges), "roots").withColumnRenamed("node", "fp")
+    rooted = nodes.select("fp", "least").join(roots, "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
     linked = rooted.join(least, "root").select("fp", "smallest")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"))
+    classes = nodes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"))
     return made.join(classes, "fp").select("fp", "id", "key", "component")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """Keep one row of each class with all its columns: the one with the smallest id, of rows that share it one.
+def wide_fingerprint(text: bytes, size: int) -> tuple[int, int, int]:
+    """A SimHash of 128 bits as two words, and the number of shingles."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0, 0
+    count = max(1, len(words) - size + 1)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.append(0, ends[:-1])[:count].tolist()
+    stops = (ends[-count:] - 1).tolist()
+    votes = np.zeros(128, np.int64)
+    for at in range(0, count, PIECE):
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(starts[at : at + PIECE], stops[at : at + PIECE])]), np.uint8)  # noqa: B905
+        votes += np.unpackbits(h.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int32)
+    a, b = np.packbits(2 * votes > count).view(">u8").tolist()
+    return a, b, count
+
+
+def _wide(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [wide_fingerprint(x, size) for x in text_bytes(batch.column(0))]
+        a, b = (np.array([m[k] for m in made], np.uint64).view(np.int64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([m[2] for m in made], pa.int64()), *batch.columns[1:]], names=["w0", "w1", "n", *batch.schema.names[1:]])
+
+
+def _wide_compare(fps: np.ndarray, guest: np.ndarray, radius: int) -> np.ndarray:
+    """Smallest linked place of each row; guests are compared with the others, not with each other."""
+    count = np.bitwise_count(fps[1]).astype(np.int64) + np.bitwise_count(fps[2])
+    order = np.argsort(count, kind="stable")
+    count, own = count[order], np.flatnonzero(~guest[order])
+    first, second = fps[1][order], fps[2][order]
+    root = np.arange(len(order))
+    for at in range(0, len(own), 64):
+        rows = own[at : at + 64]
+        # Rows in order of their population counts: those beyond the radius are skipped.
+        lo, hi = np.searchsorted(count, count[rows[0]] - radius, "left"), np.searchsorted(count, count[rows[-1]] + radius, "right")
+        far = np.bitwise_count(first[rows, None] ^ first[None, lo:hi]) + np.bitwise_count(second[rows, None] ^ second[None, lo:hi])
+        a, b = np.nonzero(far <= radius)
+        root = _roots(len(order), rows[a], b + lo, root)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[root]
+    return out
+
+
+def _wide_tiles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links within each tile; rows come sorted by tile."""
+    held: list[np.ndarray] = []
+    for batch in _ended(batches):
+        cols = [np.asarray(batch.column(c).cast(pa.int64())) for c in ("tile", "fp", "w0", "w1", "guest")] if batch is not None else None
+        if cols is not None:
+            held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
+        if not held or not len(held[0]):
+            continue
+        edge = (np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist() + ([len(held[0])] if batch is None else [])
+        at = 0
+        for end in edge:
+            fps = [held[1][at:end], held[2][at:end].view(np.uint64), held[3][at:end].view(np.uint64)]
+            root = _wide_compare(fps, held[4][at:end] > 0, radius)
+            linked = np.flatnonzero(root != np.arange(end - at))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[0][linked]), pa.array(fps[0][root[linked]])], names=["u", "v"])
+            at = end
+        held = [x[at:] for x in held]
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, chunk: int = 1 << 15) -> DataFrame:
+    """(fp, id, key, component) as near_classes, with texts linked whose shingle sets have about `similarity` or more in common.
+
+    Fingerprints of 128 bits differ, at Jaccard similarity j, in an expected share acos(2 j / (1 + j)) / pi of their bits;
+    the radius lies 1.3 standard deviations above that. Texts whose numbers of shingles differ by more than the similarity
+    (with a tenth to spare) allows are not compared: sizes fall into classes, a class meets itself and the next, and large
+    classes are cut into chunks of which each pair is one tile. The number of comparisons grows with the square of a class.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = int(128 * (share + 1.3 * (share * (1 - share) / 128) ** 0.5))
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(text_col), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    made = source.mapInArrow(lambda b: _wide(b, size), "w0 long, w1 long, n long, id long, key long")
+    made = materialise(made.withColumn("fp", F.xxhash64("w0", "w1")), "fingerprints")
+    step = -float(np.log(similarity * 0.9))
+    band = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log("n") / step)).cast("int")
+    nodes = made.groupBy("fp").agg(F.min("id").alias("least"), F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.min(band).alias("band"))
+    nodes = materialise(nodes, "nodes")
+    counts = {r[0]: r[1] for r in nodes.groupBy("band").count().collect()}  # some hundred classes at most
+    chunks = {b: -(-n // chunk) for b, n in counts.items()}
+    tiles, number = [], 0  # (band, chunk, tile, guest)
+    for b in sorted(chunks):
+        for i in range(chunks[b]):
+            for c, j in [(b, j) for j in range(i, chunks[b])] + [(b + 1, j) for j in range(chunks.get(b + 1, 0))]:
+                tiles.append((b, i, number, False))
+                if (c, j) != (b, i):
+                    tiles.append((c, j, number, True))
+                number += 1
+    plan = docs.sparkSession.createDataFrame(tiles, "band int, chunk long, tile long, guest boolean")
+    sizes = F.create_map(*[F.lit(int(x)) for kv in chunks.items() for x in kv]) if chunks else F.create_map(F.lit(0), F.lit(1))
+    dealt = nodes.withColumn("chunk", F.pmod(F.xxhash64("fp"), sizes[F.col("band")].cast("long"))).join(plan, ["band", "chunk"])
+    edges = dealt.select("tile", "fp", "w0", "w1", F.col("guest").cast("int").alias("guest")).repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda b: _wide_tiles(b, radius), "u long, v long")
+    return _classes(made, nodes, edges)
+
+
+def deduplicate(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keep one row of each class that near_classes or similar_classes found in docs, with all its columns: the one with the smallest id, of rows that share it one.
 
     Nulls sort last, so a class keeps a row without id only if none of its rows has one.
     """
-    classes = near_classes(docs, id_col, text_col, **how)
     group = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("#"), F.col("fp").cast("string")))
     kept = classes.groupBy(group.alias("g")).agg(F.min(F.struct(F.isnull("id").alias("unnamed"), "id", "key")).alias("k"))
     kept = kept.select(F.col("k.key").alias("__key"), F.coalesce(F.hash("k.id"), F.lit(0)).alias("__id"))

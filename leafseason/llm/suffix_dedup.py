@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafseason.llm.common import materialise, once, ship, text_bytes
+from leafseason.llm.common import materialise, once, ship, small_batches, text_bytes
 
 ship(__name__)
 
@@ -34,7 +34,7 @@ GRAM = 32
 CHUNK = 1 << 17  # string starts handled at a time, so that long texts need little memory
 PLACE = np.uint64((1 << 18) - 1)
 BASE = 0x9E3779B97F4A7C15
-BUCKET = 2 << 20  # bytes of segments indexed together
+BUCKET = 1 << 20  # bytes of segments indexed together
 
 STATS = "h long, c long, n long, k1 long, k2 long, lo long, ns int"
 ROWS = "h long, c long, k1 long, k2 long, lo long, ns int"
@@ -294,7 +294,7 @@ def cut_texts(batches: Iterator[pa.RecordBatch], id_col: str, text: str, others:
         yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *others, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None, width: int = 200, hot: int = 8_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None, width: int = 200, hot: int = 4_000) -> DataFrame:
     """Remove every byte covered by a string of width bytes that also starts anywhere else in the corpus.
 
     Returns id_col, the columns named in others, n_bytes, n_removed, n_spans, kept_sha256 (of the exact remaining bytes)
@@ -302,6 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
+    small_batches(docs.sparkSession)
     others = others or []
     keyed = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__k1"), F.coalesce(F.hash(F.col(id_col)).cast("long"), F.lit(0)).alias("__k2"), *dict.fromkeys([id_col, text_col, *others]))
     # Keys that tell texts apart; marks depend on the text alone, so documents that share both keys share their marks.

@@ -74,9 +74,8 @@ def low_bits(hashes: np.ndarray) -> np.ndarray | None:
     bins = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
     filled = bins[first]
-    value = np.zeros(BINS, np.uint8)
-    low = h[first] * np.uint64(0xD6E8FEB86659FD93)
-    value[filled] = (low >> np.uint64(64 - BITS)).astype(np.uint8)
+    value = np.zeros(BINS, np.uint64)
+    value[filled] = h[first]
     if len(filled) < BINS:
         has = np.zeros(BINS, bool)
         has[filled] = True
@@ -92,7 +91,10 @@ def low_bits(hashes: np.ndarray) -> np.ndarray | None:
                 empty = empty[~hit]
                 if not len(empty):
                     break
-    return value
+    # The bin takes part in the bits, so that a copied value agrees by chance in each bin anew.
+    mixed = (value ^ (np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return (mixed >> np.uint64(64 - BITS)).astype(np.uint8)
 
 
 def packed(value: np.ndarray | None) -> str:

@@ -88,7 +88,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     inner = 2**depth - 1
     out = Trees(depth, 0.0, np.zeros((0, inner), np.int64), np.zeros((0, inner), np.float32), np.zeros((0, 2**depth)))
     mean = float(y.mean()) if len(y) else 0.5
-    if not 0 < mean < 1:
+    if not len(y) or not 0 < mean < 1:
         out.base = 0.0 if not len(y) else 8.0 * (2 * mean - 1)
         return out
     out.base = float(np.log(mean / (1 - mean)))

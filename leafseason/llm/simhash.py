@@ -241,14 +241,14 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, chunk: int = 1 << 13) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, chunks: int = 8) -> DataFrame:
     """(fp, id, key, component) as near_classes, with texts linked whose shingle sets have about `similarity` or more in common.
 
     Fingerprints of 128 bits differ, at Jaccard similarity j, in an expected share acos(2 j / (1 + j)) / pi of their bits;
     the radius lies 1.3 standard deviations above that. Texts whose numbers of shingles differ by more than the similarity
-    (with a tenth to spare) allows are not compared: sizes fall into classes, a class meets itself and the next, and large
-    classes are cut into at most 32 chunks of `chunk` or more (more of a million), of which each pair is one tile. The
-    number of comparisons grows with the square of a class.
+    (with a tenth to spare) allows are not compared: sizes fall into classes, a class meets itself and the next, and
+    classes are cut into `chunks` parts by hash, of which each pair is one tile, so that a text is sent to 3 * chunks tiles
+    whatever the size of its class. The number of comparisons grows with the square of a class.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(128 * (share + 1.3 * (share * (1 - share) / 128) ** 0.5))
@@ -260,19 +260,17 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log("n") / step)).cast("int")
     nodes = made.groupBy("fp").agg(F.min("id").alias("least"), F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.min(band).alias("band"))
     nodes = materialise(nodes, "nodes")
-    counts = {r[0]: r[1] for r in nodes.groupBy("band").count().collect()}  # some hundred classes at most
-    chunks = {b: -(-n // min(1 << 20, max(chunk, n // 32))) for b, n in counts.items()}
+    bands = {r[0] for r in nodes.select("band").distinct().collect()}  # some hundred classes at most
     tiles, number = [], 0  # (band, chunk, tile, guest)
-    for b in sorted(chunks):
-        for i in range(chunks[b]):
-            for c, j in [(b, j) for j in range(i, chunks[b])] + [(b + 1, j) for j in range(chunks.get(b + 1, 0))]:
+    for b in sorted(bands):
+        for i in range(chunks):
+            for c, j in [(b, j) for j in range(i, chunks)] + [(b + 1, j) for j in range(chunks) if b + 1 in bands]:
                 tiles.append((b, i, number, False))
                 if (c, j) != (b, i):
                     tiles.append((c, j, number, True))
                 number += 1
     plan = docs.sparkSession.createDataFrame(tiles, "band int, chunk long, tile long, guest boolean")
-    sizes = F.create_map(*[F.lit(int(x)) for kv in chunks.items() for x in kv]) if chunks else F.create_map(F.lit(0), F.lit(1))
-    dealt = nodes.withColumn("chunk", F.pmod(F.xxhash64("fp"), sizes[F.col("band")].cast("long"))).join(plan, ["band", "chunk"])
+    dealt = nodes.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.lit(chunks))).join(F.broadcast(plan), ["band", "chunk"])
     # Few bytes, much work: as many tasks as there are tiles to fill them.
     tasks = max(1, min(number, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     edges = dealt.select("tile", "fp", "w0", "w1", F.col("guest").cast("int").alias("guest")).repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(lambda b: _wide_tiles(b, radius), "u long, v long")

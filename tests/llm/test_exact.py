@@ -154,7 +154,7 @@ def test_similar_texts_are_found_and_others_left(spark):
         for _ in range(len(own) // 60):
             near[rng.randrange(len(near))] = word()
         texts += [" ".join(own), " ".join(near)]
-    got = {r.id: r.component for r in simhash.similar_classes(docs(spark, texts), chunk=20).collect()}
+    got = {r.id: r.component for r in simhash.similar_classes(docs(spark, texts), chunks=3).collect()}
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(60)) >= 58
     assert len(set(got.values())) >= 60
 

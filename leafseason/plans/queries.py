@@ -328,9 +328,9 @@ def scene_pixel_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.scored_scenes(scored_days(spark, sf_dir))
 
 
-@query(f"with {SCORED} select strftime(ts, '%Y-%m') as scene_ts, count(proba) as n_pixels, round(avg(round(proba, 6)), 6) as mean_proba, min(round(proba, 6)) as min_proba, max(round(proba, 6)) as max_proba from scored group by 1")
+@query(f"with {SCORED} select strftime(ts, '%Y-%m') as scene_ts, count(proba) as n_pixels, round(avg(round(proba, 6)), 12) as mean_proba, min(round(proba, 6)) as min_proba, max(round(proba, 6)) as max_proba from scored group by 1")
 def season_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.season_summary(scored_days(spark, sf_dir)).withColumn("mean_proba", F.round("mean_proba", 6))
+    return summary.season_summary(scored_days(spark, sf_dir)).withColumn("mean_proba", F.round("mean_proba", 12))
 
 
 def _scratch(spark: SparkSession, tag: str) -> str:

@@ -29,6 +29,8 @@ from leafseason.llm.components import connected_components
 ship(__name__)
 
 PIECE = 1 << 16  # shingles handled at a time
+KEYS = 8  # tiles that a text goes to for its smallest shingles
+TILE = 4096  # fingerprints compared in one task's step; larger tiles are cut into pairs of chunks
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -171,29 +173,34 @@ def _classes(made: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return made.join(classes, "fp").select("fp", "id", "key", "component")
 
 
-def wide_fingerprint(text: bytes, size: int) -> tuple[int, int, int]:
-    """A SimHash of 128 bits as two words, and the number of shingles."""
+def wide_fingerprint(text: bytes, size: int, keys: int = KEYS) -> tuple[int, int, list[int]]:
+    """A SimHash of 128 bits as two words, and the smallest of the shingles' hashes under each of `keys` orders."""
     words = text.lower().split()
     if not words:
-        return 0, 0, 0
+        return 0, 0, []
     count = max(1, len(words) - size + 1)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.append(0, ends[:-1])[:count].tolist()
     stops = (ends[-count:] - 1).tolist()
     votes = np.zeros(128, np.int64)
+    least = np.full(keys, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, count, PIECE):
         h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(starts[at : at + PIECE], stops[at : at + PIECE])]), np.uint8)  # noqa: B905
         votes += np.unpackbits(h.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int32)
+        first, second = h.view(np.uint64).reshape(-1, 2).T
+        for k in range(keys):
+            least[k] = min(least[k], (first + second * np.uint64(k)).min())
     a, b = np.packbits(2 * votes > count).view(">u8").tolist()
-    return a, b, count
+    return a, b, least.view(np.int64).tolist()
 
 
 def _wide(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [wide_fingerprint(x, size) for x in text_bytes(batch.column(0))]
         a, b = (np.array([m[k] for m in made], np.uint64).view(np.int64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([m[2] for m in made], pa.int64()), *batch.columns[1:]], names=["w0", "w1", "n", *batch.schema.names[1:]])
+        least = pa.array([m[2] for m in made], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), least, *batch.columns[1:]], names=["w0", "w1", "least_hashes", *batch.schema.names[1:]])
 
 
 def _wide_compare(fps: np.ndarray, guest: np.ndarray, radius: int) -> np.ndarray:
@@ -241,39 +248,39 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, chunks: int = 8) -> DataFrame:
+def similar_tiles(made: DataFrame, tile_size: int) -> DataFrame:
+    """(tile, fp, w0, w1, guest): each fingerprint under each of its smallest shingles that another one has as well.
+
+    A tile with more than tile_size fingerprints is cut into chunks by hash, and each pair of chunks is a tile of its own
+    where the second one's rows are guests, so every pair still meets.
+    """
+    keyed = made.select("fp", "w0", "w1", F.posexplode("least_hashes").alias("k", "least")).select(F.xxhash64("k", "least").alias("named"), "fp", "w0", "w1").distinct()
+    counts = keyed.groupBy("named").agg(F.count("*").alias("rows")).where("rows > 1")
+    chunks = F.ceil(F.col("rows") / tile_size).cast("long")
+    met = keyed.join(counts, "named").withColumn("own", F.pmod(F.xxhash64("fp"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    return met.select(F.xxhash64("named", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp", "w0", "w1", (F.col("own") > F.col("other")).cast("int").alias("guest"))
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile_size: int = TILE) -> DataFrame:
     """(fp, id, key, component) as near_classes, with texts linked whose shingle sets have about `similarity` or more in common.
 
     Fingerprints of 128 bits differ, at Jaccard similarity j, in an expected share acos(2 j / (1 + j)) / pi of their bits;
-    the radius lies 1.3 standard deviations above that. Texts whose numbers of shingles differ by more than the similarity
-    (with a tenth to spare) allows are not compared: sizes fall into classes, a class meets itself and the next, and
-    classes are cut into `chunks` parts by hash, of which each pair is one tile, so that a text is sent to 3 * chunks tiles
-    whatever the size of its class. The number of comparisons grows with the square of a class.
+    the radius lies 1.3 standard deviations above that. Population counts alone part few fingerprints at such a radius, so
+    a tile holds the fingerprints of texts that share their smallest shingle under one of KEYS hash orders; within it,
+    those whose counts differ by more than the radius are skipped and the rest compared bit by bit. Texts at similarity j
+    share no tile with probability (1 - j) ** KEYS, 3 in a million at 0.8. A text goes to KEYS tiles whatever the size of the
+    corpus, so work grows with its copies, not with its square. Texts without words form one class.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(128 * (share + 1.3 * (share * (1 - share) / 128) ** 0.5))
     small_batches(docs.sparkSession)
     source = docs.select(F.col(text_col), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    made = source.mapInArrow(lambda b: _wide(b, size), "w0 long, w1 long, n long, id long, key long")
+    made = source.mapInArrow(lambda b: _wide(b, size), "w0 long, w1 long, least_hashes array<long>, id long, key long")
     made = materialise(made.withColumn("fp", F.xxhash64("w0", "w1")), "fingerprints")
-    step = -float(np.log(similarity * 0.9))
-    band = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log("n") / step)).cast("int")
-    nodes = made.groupBy("fp").agg(F.min("id").alias("least"), F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.min(band).alias("band"))
-    nodes = materialise(nodes, "nodes")
-    bands = {r[0] for r in nodes.select("band").distinct().collect()}  # some hundred classes at most
-    tiles, number = [], 0  # (band, chunk, tile, guest)
-    for b in sorted(bands):
-        for i in range(chunks):
-            for c, j in [(b, j) for j in range(i, chunks)] + [(b + 1, j) for j in range(chunks) if b + 1 in bands]:
-                tiles.append((b, i, number, False))
-                if (c, j) != (b, i):
-                    tiles.append((c, j, number, True))
-                number += 1
-    plan = docs.sparkSession.createDataFrame(tiles, "band int, chunk long, tile long, guest boolean")
-    dealt = nodes.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.lit(chunks))).join(F.broadcast(plan), ["band", "chunk"])
-    # Few bytes, much work: as many tasks as there are tiles to fill them.
-    tasks = max(1, min(number, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    edges = dealt.select("tile", "fp", "w0", "w1", F.col("guest").cast("int").alias("guest")).repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(lambda b: _wide_tiles(b, radius), "u long, v long")
+    nodes = materialise(made.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    # Few bytes, much work: more tasks than bytes alone would give.
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = similar_tiles(made, tile_size).repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(lambda b: _wide_tiles(b, radius), "u long, v long")
     return _classes(made, nodes, edges)
 
 

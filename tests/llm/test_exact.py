@@ -154,11 +154,34 @@ def test_similar_texts_are_found_and_others_left(spark):
         for _ in range(len(own) // 60):
             near[rng.randrange(len(near))] = word()
         texts += [" ".join(own), " ".join(near)]
-    got = {r.id: r.component for r in simhash.similar_classes(docs(spark, texts), chunks=3).collect()}
+    got = {r.id: r.component for r in simhash.similar_classes(docs(spark, texts)).collect()}
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(60)) >= 58
     assert len(set(got.values())) >= 60
 
 
+def test_cut_tiles_lose_no_link(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = [None, "", "one", "one two"]
+    for size in (50, 9):  # groups of near copies far larger than a tile
+        own = [word() for _ in range(300)]
+        for _ in range(size):
+            near = list(own)
+            near[rng.randrange(300)] = word()
+            texts.append(" ".join(near))
+    texts += [" ".join(word() for _ in range(100)) for _ in range(20)]
+    fps = [simhash.wide_fingerprint((t or "").encode(), 5)[:2] for t in texts]
+    label = list(range(len(texts)))
+    for i, (a, b) in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j][0]).bit_count() + (b ^ fps[j][1]).bit_count() <= 24:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {x: label.index(x) for x in label}
+    for tile_size in (4, 4096):
+        got = {r.id: r.component for r in simhash.similar_classes(docs(spark, texts), tile_size=tile_size).collect()}
+        assert got == {i: least[x] for i, x in enumerate(label)}
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

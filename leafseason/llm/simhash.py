@@ -183,15 +183,19 @@ def wide_fingerprint(text: bytes, size: int, keys: int = KEYS) -> tuple[int, int
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.append(0, ends[:-1])[:count].tolist()
     stops = (ends[-count:] - 1).tolist()
+    pieces = range(0, count, PIECE)
+    hashes = (b"".join([xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(starts[at : at + PIECE], stops[at : at + PIECE])]) for at in pieces)  # noqa: B905
+    # Each shingle has one vote, however often it occurs: lines that a text repeats don't outweigh the rest of it.
+    every = np.concatenate([np.frombuffer(h, np.uint64).reshape(-1, 2) for h in hashes])
+    own = every[np.unique(every[:, 0], return_index=True)[1]]
     votes = np.zeros(128, np.int64)
     least = np.full(keys, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, count, PIECE):
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(starts[at : at + PIECE], stops[at : at + PIECE])]), np.uint8)  # noqa: B905
-        votes += np.unpackbits(h.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int32)
-        first, second = h.view(np.uint64).reshape(-1, 2).T
+    for at in range(0, len(own), PIECE):
+        some = own[at : at + PIECE]
+        votes += np.unpackbits(some.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
         for k in range(keys):
-            least[k] = min(least[k], (first + second * np.uint64(k)).min())
-    a, b = np.packbits(2 * votes > count).view(">u8").tolist()
+            least[k] = min(least[k], (some[:, 0] + some[:, 1] * np.uint64(k)).min())
+    a, b = np.packbits(2 * votes > len(own)).view(">u8").tolist()
     return a, b, least.view(np.int64).tolist()
 
 

@@ -134,6 +134,10 @@ def test_tiles_lose_no_link(spark, parts, radius):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, made.values()))
 
 
+def test_parts_grow_with_the_table():
+    assert [simhash.parts_for(n) for n in (0, 10**6, 10**7, 10**10)] == [4, 4, 8, 16]
+
+
 def test_deduplicate_keeps_one_row_of_each_class(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "other words"), (3, None), (4, ""), (5, "unlike all the rest of them")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("x"))

@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages, each written as Parquet and read again before the next.
 
 1. language: train on the rows given and drop documents whose language cannot be told.
-2. near_duplicates: keep one document of each class of texts that share about 0.8 or more of their five-word shingles,
-   judged by SimHash.
+2. near_duplicates: keep one document of each class of texts linked by a Jaccard similarity of 0.8 or more of their
+   five-word shingles; SimHash finds the pairs, their sets confirm them.
 3. repeats: cut strings of 200 bytes that occur elsewhere out of the texts; every document stays, with n_chars anew.
 4. mixing: replicate documents so that sources have equal shares of the text, and shuffle.
 5. tokens: encode and decode every remaining text.

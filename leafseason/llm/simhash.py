@@ -31,6 +31,7 @@ ship(__name__)
 PIECE = 1 << 16  # shingles handled at a time
 KEYS = 8  # tiles that a text goes to for its smallest shingles
 TILE = 4096  # fingerprints compared in one task's step; larger tiles are cut into pairs of chunks
+SHINGLES = 1 << 20  # of a chunk's texts together, beyond which a tile is cut as well
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -182,11 +183,11 @@ def _classes(made: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return made.join(classes, "fp").select("fp", "id", "key", "component")
 
 
-def wide_fingerprint(text: bytes, size: int, keys: int = KEYS) -> tuple[int, int, list[int]]:
-    """A SimHash of 128 bits as two words, and the smallest of the shingles' hashes under each of `keys` orders."""
+def shingle_digests(text: bytes, size: int) -> np.ndarray:
+    """128-bit hashes of the distinct shingles as two columns, sorted by the first; that column stands for the shingle."""
     words = text.lower().split()
     if not words:
-        return 0, 0, []
+        return np.zeros((0, 2), np.uint64)
     count = max(1, len(words) - size + 1)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
@@ -194,9 +195,16 @@ def wide_fingerprint(text: bytes, size: int, keys: int = KEYS) -> tuple[int, int
     stops = (ends[-count:] - 1).tolist()
     pieces = range(0, count, PIECE)
     hashes = (b"".join([xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(starts[at : at + PIECE], stops[at : at + PIECE])]) for at in pieces)  # noqa: B905
-    # Each shingle has one vote, however often it occurs: lines that a text repeats don't outweigh the rest of it.
     every = np.concatenate([np.frombuffer(h, np.uint64).reshape(-1, 2) for h in hashes])
-    own = every[np.unique(every[:, 0], return_index=True)[1]]
+    return every[np.unique(every[:, 0], return_index=True)[1]]
+
+
+def wide_fingerprint(text: bytes, size: int, keys: int = KEYS) -> tuple[int, int, list[int], int, int]:
+    """A SimHash of 128 bits as two words, the smallest of the shingles' hashes under each of `keys` orders, a digest of the set of shingles and its size."""
+    # Each shingle has one vote, however often it occurs: lines that a text repeats don't outweigh the rest of it.
+    own = shingle_digests(text, size)
+    if not len(own):
+        return 0, 0, [], 0, 0
     votes = np.zeros(128, np.int64)
     least = np.full(keys, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), PIECE):
@@ -205,55 +213,83 @@ def wide_fingerprint(text: bytes, size: int, keys: int = KEYS) -> tuple[int, int
         for k in range(keys):
             least[k] = min(least[k], (some[:, 0] + some[:, 1] * np.uint64(k)).min())
     a, b = np.packbits(2 * votes > len(own)).view(">u8").tolist()
-    return a, b, least.view(np.int64).tolist()
+    return a, b, least.view(np.int64).tolist(), xxhash.xxh3_64_intdigest(np.ascontiguousarray(own[:, 0])), len(own)
 
 
 def _wide(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [wide_fingerprint(x, size) for x in text_bytes(batch.column(0))]
-        a, b = (np.array([m[k] for m in made], np.uint64).view(np.int64) for k in (0, 1))
-        least = pa.array([m[2] for m in made], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), least, *batch.columns[1:]], names=["w0", "w1", "least_hashes", *batch.schema.names[1:]])
-
-
-def _wide_compare(fps: np.ndarray, guest: np.ndarray, radius: int) -> np.ndarray:
-    """Smallest linked place of each row; guests are compared with the others, not with each other."""
-    count = np.bitwise_count(fps[1]).astype(np.int64) + np.bitwise_count(fps[2])
-    order = np.argsort(count, kind="stable")
-    count, own = count[order], np.flatnonzero(~guest[order])
-    first, second = fps[1][order], fps[2][order]
-    root = np.arange(len(order))
+        a, b, fp = (pa.array(np.array([m[k] for m in made], np.uint64).view(np.int64)) for k in (0, 1, 3))
+        least, n = pa.array([m[2] for m in made], pa.list_(pa.int64())), pa.array([m[4] for m in made], pa.int64())
+        yield pa.RecordBatch.from_arrays([fp, a, b, n, least, *batch.columns[1:]], names=["fp", "w0", "w1", "n", "least_hashes", *batch.schema.names[1:]])
+
+
+def _confirmed(w0: np.ndarray, w1: np.ndarray, n: np.ndarray, guest: np.ndarray, texts: pa.Array, radius: int, size: int, similarity: float) -> np.ndarray:
+    """Smallest linked place of each row; guests are compared with the others, not with each other.
+
+    Rows within the radius whose sizes allow the similarity are candidates; only the exact similarity of their sets links them.
+    """
+    root, places = np.arange(len(n)), np.arange(len(n))
+    own = np.flatnonzero(~guest)
+
+    def candidates(rows: np.ndarray) -> np.ndarray:
+        far = np.bitwise_count(w0[rows, None] ^ w0[None]) + np.bitwise_count(w1[rows, None] ^ w1[None])
+        few, many = np.minimum(n[rows, None], n[None]), np.maximum(n[rows, None], n[None])
+        return (far <= radius) & (few / many >= similarity) & (guest[None] | (places[None] > rows[:, None]))
+
+    asked = np.zeros(len(n), bool)
     for at in range(0, len(own), 64):
-        rows = own[at : at + 64]
-        # Rows in order of their population counts: those beyond the radius are skipped.
-        lo, hi = np.searchsorted(count, count[rows[0]] - radius, "left"), np.searchsorted(count, count[rows[-1]] + radius, "right")
-        far = np.bitwise_count(first[rows, None] ^ first[None, lo:hi]) + np.bitwise_count(second[rows, None] ^ second[None, lo:hi])
-        a, b = np.nonzero(far <= radius)
-        root = _roots(len(order), rows[a], b + lo, root)
-    out = np.empty(len(order), np.int64)
-    out[order] = order[root]
-    return out
-
-
-def _wide_tiles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+        met = candidates(own[at : at + 64])
+        asked |= met.any(axis=0)
+        asked[own[at : at + 64]] |= met.any(axis=1)
+    some = np.flatnonzero(asked)
+    if not len(some):
+        return root
+    sets = [shingle_digests(x, size)[:, 0] for x in text_bytes(texts.take(pa.array(some)))]
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    starts = ends - [len(x) for x in sets]
+    nth = np.cumsum(asked) - 1
+    mark = np.zeros(len(names), bool)
+    for i in own[asked[own]]:
+        to = np.flatnonzero(candidates(np.array([i]))[0] & (root != root[i]))
+        if not len(to):
+            continue
+        mine = flat[starts[nth[i]] : ends[nth[i]]]
+        mark[mine] = True
+        if len(to) < 64:
+            both = np.array([np.count_nonzero(mark[flat[starts[k] : ends[k]]]) for k in nth[to]])
+        else:
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)[nth[to]]
+        mark[mine] = False
+        linked = to[both / (n[i] + n[to] - both) >= similarity]
+        if len(linked):
+            old = np.append(root[linked], root[i])
+            root[np.isin(root, old)] = old.min()
+    return root
+
+
+def _wide_tiles(batches: Iterator[pa.RecordBatch], radius: int, size: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Links within each tile; rows come sorted by tile."""
-    held: list[np.ndarray] = []
+    held: pa.Table | None = None
     for batch in _ended(batches):
-        cols = [np.asarray(batch.column(c).cast(pa.int64())) for c in ("tile", "fp", "w0", "w1", "guest")] if batch is not None else None
-        if cols is not None:
-            held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-        if not held or not len(held[0]):
+        if batch is not None:
+            more = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, more]).combine_chunks() if held is not None else more
+        if held is None or not held.num_rows:
             continue
-        edge = (np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist() + ([len(held[0])] if batch is None else [])
+        tile, fp, w0, w1, n, guest = (held.column(c).to_numpy() for c in ("tile", "fp", "w0", "w1", "n", "guest"))
+        texts = held.column("text").combine_chunks()
+        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
         at = 0
-        for end in edge:
-            fps = [held[1][at:end], held[2][at:end].view(np.uint64), held[3][at:end].view(np.uint64)]
-            root = _wide_compare(fps, held[4][at:end] > 0, radius)
-            linked = np.flatnonzero(root != np.arange(end - at))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[0][linked]), pa.array(fps[0][root[linked]])], names=["u", "v"])
+        for end in (np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist() + ([len(tile)] if batch is None else []):
+            if end - at > 1:
+                root = _confirmed(w0[at:end].view(np.uint64), w1[at:end].view(np.uint64), n[at:end], guest[at:end] > 0, texts.slice(at, end - at), radius, size, similarity)
+                linked = np.flatnonzero(root != np.arange(end - at))
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[at:end][linked]), pa.array(fp[at:end][root[linked]])], names=["u", "v"])
             at = end
-        held = [x[at:] for x in held]
+        held = held.slice(at)
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -261,40 +297,47 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def similar_tiles(made: DataFrame, tile_size: int) -> DataFrame:
-    """(tile, fp, w0, w1, guest): each fingerprint under each of its smallest shingles that another one has as well.
+def similar_tiles(made: DataFrame, tile_size: int, most: int = SHINGLES) -> DataFrame:
+    """(tile, fp, w0, w1, n, guest, pick): each set of shingles under each of its smallest shingles that another one has as well.
 
-    A tile with more than tile_size fingerprints is cut into chunks by hash, and each pair of chunks is a tile of its own
-    where the second one's rows are guests, so every pair still meets.
+    A tile with more than tile_size sets, or `most` shingles, is cut into chunks by hash, and each pair of chunks is a tile of
+    its own where the second one's rows are guests, so every pair still meets. pick names one row that has the set.
     """
-    keyed = made.select("fp", "w0", "w1", F.posexplode("least_hashes").alias("k", "least")).select(F.xxhash64("k", "least").alias("named"), "fp", "w0", "w1").distinct()
-    counts = keyed.groupBy("named").agg(F.count("*").alias("rows")).where("rows > 1")
-    chunks = F.ceil(F.col("rows") / tile_size).cast("long")
+    keyed = made.select("fp", "w0", "w1", "n", "pick", F.posexplode("least_hashes").alias("k", "least")).select(F.xxhash64("k", "least").alias("named"), "fp", "w0", "w1", "n", "pick")
+    keyed = keyed.groupBy("named", "fp", "w0", "w1", "n").agg(F.min("pick").alias("pick"))
+    counts = keyed.groupBy("named").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
+    chunks = F.least("rows", F.greatest(F.ceil(F.col("rows") / tile_size), F.ceil(F.col("shingles") / most))).cast("long")
     met = keyed.join(counts, "named").withColumn("own", F.pmod(F.xxhash64("fp"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    return met.select(F.xxhash64("named", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp", "w0", "w1", (F.col("own") > F.col("other")).cast("int").alias("guest"))
+    return met.select(F.xxhash64("named", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp", "w0", "w1", "n", (F.col("own") > F.col("other")).cast("int").alias("guest"), "pick")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile_size: int = TILE) -> DataFrame:
-    """(fp, id, key, component) as near_classes, with texts linked whose shingle sets have about `similarity` or more in common.
-
-    Fingerprints of 128 bits differ, at Jaccard similarity j, in an expected share acos(2 j / (1 + j)) / pi of their bits;
-    the radius lies 1.3 standard deviations above that. Population counts alone part few fingerprints at such a radius, so
-    a tile holds the fingerprints of texts that share their smallest shingle under one of KEYS hash orders; within it,
-    those whose counts differ by more than the radius are skipped and the rest compared bit by bit. Texts at similarity j
-    share no tile with probability (1 - j) ** KEYS, 3 in a million at 0.8. A text goes to KEYS tiles whatever the size of the
-    corpus, so work grows with its copies, not with its square. Texts without words form one class.
+    """(fp, id, key, component) as near_classes, with texts linked whose sets of shingles have a Jaccard similarity of at least `similarity`; fp is a digest of the set.
+
+    Every link is confirmed on the sets themselves (of 64-bit hashes of the shingles). Which pairs are looked at: a tile holds
+    the texts that share their smallest shingle under one of KEYS hash orders; within it, pairs whose sizes rule the similarity
+    out or whose 128-bit SimHashes lie beyond the radius are skipped. Texts at similarity j share no tile with probability
+    (1 - j) ** KEYS, 3 in a million at 0.8. Their SimHashes differ in an expected share acos(2 j / (1 + j)) / pi of the bits,
+    and in up to 0.19 of them for sets of 4 and 5 shingles, where votes tie; the radius lies 7 standard deviations above the
+    first, and less than 1 in a million pairs at 0.8 lie beyond it in either case. A text goes to KEYS tiles whatever the size
+    of the corpus, so work grows with its copies, not with its square. Texts without words form one class.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(128 * (share + 1.3 * (share * (1 - share) / 128) ** 0.5))
+    radius = int(128 * (share + 7 * (share * (1 - share) / 128) ** 0.5))
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(text_col), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    made = source.mapInArrow(lambda b: _wide(b, size), "w0 long, w1 long, least_hashes array<long>, id long, key long")
-    made = materialise(made.withColumn("fp", F.xxhash64("w0", "w1")), "fingerprints")
+    source = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    made = source.mapInArrow(lambda b: _wide(b, size), "fp long, w0 long, w1 long, n long, least_hashes array<long>, id long, key long")
+    made = materialise(made, "fingerprints")
     nodes = materialise(made.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    pick = F.xxhash64("key", "id").alias("pick")
+    tiles = materialise(similar_tiles(made.select("*", pick), tile_size), "tiles")
+    # The text of one row of each set; ids keep copies of a text from meeting in one task.
+    asked = source.select("text", pick).join(tiles.select("pick").distinct().hint("shuffle_hash"), "pick")
+    texts = asked.withColumn("nth", F.row_number().over(Window.partitionBy("pick").orderBy("pick"))).where("nth = 1").select("pick", "text")
     # Few bytes, much work: more tasks than bytes alone would give.
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = similar_tiles(made, tile_size).repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(lambda b: _wide_tiles(b, radius), "u long, v long")
-    return _classes(made, nodes, edges)
+    dealt = tiles.join(texts, "pick").drop("pick").repartition(tasks, "tile").sortWithinPartitions("tile")
+    return _classes(made, nodes, dealt.mapInArrow(lambda b: _wide_tiles(b, radius, size, similarity), "u long, v long"))
 
 
 def deduplicate(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

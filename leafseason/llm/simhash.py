@@ -167,7 +167,7 @@ def links(distinct: DataFrame, radius: int = 2, parts: int = 4) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, parts: int | None = None) -> DataFrame:
-    """(fp, id, key, component) of every row of docs; component is the smallest id of the row's class."""
+    """(fp, id, key, component, root) of every row of docs; component is the smallest id of the row's class, root its smallest linked fp."""
     small_batches(docs.sparkSession)
     made = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = materialise(made.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
@@ -178,9 +178,9 @@ def _classes(made: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = materialise(connected_components(edges), "roots").withColumnRenamed("node", "fp")
     rooted = nodes.select("fp", "least").join(roots, "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
-    linked = rooted.join(least, "root").select("fp", "smallest")
-    classes = nodes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"))
-    return made.join(classes, "fp").select("fp", "id", "key", "component")
+    linked = rooted.join(least, "root").select("fp", "smallest", "root")
+    classes = nodes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"), F.coalesce("root", "fp").alias("root"))
+    return made.join(classes, "fp").select("fp", "id", "key", "component", "root")
 
 
 def shingle_digests(text: bytes, size: int) -> np.ndarray:
@@ -312,7 +312,7 @@ def similar_tiles(made: DataFrame, tile_size: int, most: int = SHINGLES) -> Data
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile_size: int = TILE) -> DataFrame:
-    """(fp, id, key, component) as near_classes, with texts linked whose sets of shingles have a Jaccard similarity of at least `similarity`; fp is a digest of the set.
+    """(fp, id, key, component, root) as near_classes, with texts linked whose sets of shingles have a Jaccard similarity of at least `similarity`; fp is a digest of the set.
 
     Every link is confirmed on the sets themselves (of 64-bit hashes of the shingles). Which pairs are looked at: a tile holds
     the texts that share their smallest shingle under one of KEYS hash orders; within it, pairs whose sizes rule the similarity
@@ -345,8 +345,7 @@ def deduplicate(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", tex
 
     Nulls sort last, so a class keeps a row without id only if none of its rows has one.
     """
-    group = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("#"), F.col("fp").cast("string")))
-    kept = classes.groupBy(group.alias("g")).agg(F.min(F.struct(F.isnull("id").alias("unnamed"), "id", "key")).alias("k"))
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("unnamed"), "id", "key")).alias("k"))
     kept = kept.select(F.col("k.key").alias("__key"), F.coalesce(F.hash("k.id"), F.lit(0)).alias("__id"))
     keyed = docs.withColumns({"__key": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "__id": F.coalesce(F.hash(F.col(id_col).cast("long")), F.lit(0))})
     met = keyed.join(kept.distinct().hint("shuffle_hash"), ["__key", "__id"])

@@ -52,3 +52,15 @@ def test_chunks_by_shingles_lose_no_link(spark, monkeypatch):
     texts = [" ".join([*own[:99], f"x{k}"]) for k in range(12)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.component for r in simhash.similar_classes(df).collect()} == {0}
+
+
+@pytest.mark.parametrize("find", [simhash.near_classes, simhash.similar_classes])
+def test_classes_without_ids_and_with_shared_ids_keep_one_row_each(spark, find):
+    own = [f"w{k}" for k in range(200)]
+    near = " ".join([*own[:-1], "other0"])
+    rows = [(None, " ".join(own)), (None, near), (7, "a text of its own"), (7, "and one quite unlike it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = find(df)
+    texts = sorted(r.text for r in simhash.deduplicate(df, found).collect())
+    assert [t for t in texts if t[0] == "a"] == ["a text of its own", "and one quite unlike it"]
+    assert found.select("fp").distinct().count() == 4 and found.where("id is null").select("root").distinct().count() == len(texts) - 2 == 1

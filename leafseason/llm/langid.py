@@ -121,9 +121,13 @@ class Scorer:
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and the number of words that the model knows or backs off for."""
         words = words_of(text or "")
         if not words or not self.model.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         if len(self.extra) > self.kept:
             self.forget()
         get = self.rows.get
@@ -138,7 +142,7 @@ class Scorer:
         mean = total / n if n else total
         best = int(mean.argmin())
         odds = np.exp((mean.min() - mean) * np.log(10) * min(max(n, 1), 5))
-        return self.model.langs[best], float(1 / odds.sum())
+        return self.model.langs[best], float(1 / odds.sum()), n
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,14 +161,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
-    """Rows of docs whose language is known with at least min_score, with all their columns."""
+    """Rows of docs whose language is known with at least min_score, with all their columns.
+
+    A text without any known word or n-gram is dropped, however large a share the languages have by default.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(**shared.value))
         for batch in batches:
-            made = [scorer.predict(x) for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in made]))
+            made = [scorer.judge(x) for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield batch.filter(pa.array([known > 0 and score >= min_score for _, score, known in made], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -353,6 +353,7 @@ def stream_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_new_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "stream")
     kinds = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(kinds).parquet(f"{sf_dir}/events.parque[t]").groupBy("user_id").agg(F.min("ts").alias("first_ts"))
-    season_stream.drain(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint")
-    return spark.read.schema("user_id long, first_ts timestamp").parquet(f"{path}/out").groupBy("user_id").agg(F.min("first_ts").alias("first_ts"))
+    stream = spark.readStream.schema(kinds).parquet(f"{sf_dir}/events.parque[t]").select("user_id", "ts")
+    scenes = season_stream.first_seen(stream, "user_id", "ts")  # a scene is known by its time; late ones may be a user's first
+    season_stream.drain(scenes, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint", "append")
+    return spark.read.schema("user_id long, ts timestamp").parquet(f"{path}/out").groupBy("user_id").agg(F.min("ts").alias("first_ts"))

@@ -51,9 +51,13 @@ def drain(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: st
     df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def first_seen(stream: DataFrame, key: str, delay: str = "30 days", ts: str = "ts") -> DataFrame:
-    """Each key's first row, as new scenes of a stream; keys are remembered for delay of event time."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def first_seen(stream: DataFrame, *key: str) -> DataFrame:
+    """The first row to arrive of each key (one column or several), as new scenes of a stream.
+
+    Late rows are taken without bound and no key is sent twice, so every key stays in the state for good. Of a key's rows
+    in one batch any may be the one; where that matters, its columns belong to the key.
+    """
+    return stream.dropDuplicates(list(key))
 
 
 def running_by_state(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -57,20 +57,44 @@ def closest_scene(scenes: DataFrame, target: str) -> DataFrame:
     return near.orderBy(gap, "scene_ts").limit(1)
 
 
-def closest_per_key(targets: DataFrame, scenes: DataFrame, keys: list[str], target_ts: str = "target_ts", scene_ts: str = "scene_ts") -> DataFrame:
+def closest_per_key(targets: DataFrame, scenes: DataFrame, keys: list[str], target_ts: str = "target_ts", scene_ts: str = "scene_ts", days: int = 32) -> DataFrame:
     """For each target its key's nearest scene in time (ties to the earlier), as columns nearest_ts and gap_micros.
 
-    An as-of join in both directions: targets and scenes of a key meet in one window in order of time, so no pairs are made.
+    An as-of join in both directions without pairs: targets and scenes meet in one window in order of time. Windows go by key
+    and span of `days`, so a key of any size is spread over tasks; each span gets the last scene before it and the first one
+    after it from a summary of one row a key and span. Targets and scenes without a time find nothing; null keys are a key.
     """
-    a = targets.select(*keys, F.col(target_ts).alias("__ts"), F.lit(True).alias("__asks"), F.lit(None).cast(scenes.schema[scene_ts].dataType).alias("__scene"))
-    b = scenes.select(*keys, F.col(scene_ts).alias("__ts"), F.lit(False).alias("__asks"), F.col(scene_ts).alias("__scene"))
-    # The last scene so far and the next one to come; scenes at the same time are seen by both.
-    back = F.last("__scene", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__ts").rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__scene", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__ts").rangeBetween(0, Window.unboundedFollowing))
-    met = a.unionByName(b).withColumns({"__back": back, "__ahead": ahead}).where("__asks")
+    span = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
+    kind = scenes.schema[scene_ts].dataType
+    a = targets.select(*keys, F.col(target_ts).alias("__ts"), span(target_ts).alias("__span"), F.lit(True).alias("__asks"), F.lit(None).cast(kind).alias("__scene"))
+    b = scenes.where(F.col(scene_ts).isNotNull()).select(*keys, F.col(scene_ts).alias("__ts"), span(scene_ts).alias("__span"), F.lit(False).alias("__asks"), F.col(scene_ts).alias("__scene"))
+    rows = a.unionByName(b)
+    spans = rows.groupBy(*keys, "__span").agg(F.min("__scene").alias("first"), F.max("__scene").alias("last"))
+    others = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = spans.withColumns({"first": F.last("first", True).over(others(F.desc("__span"))), "last": F.last("last", True).over(others("__span"))})
+    guests = beyond.select(*keys, "__span", F.explode(F.array("first", "last")).alias("__scene")).where("__scene is not null and __span is not null")
+    rows = rows.unionByName(guests.withColumns({"__ts": F.col("__scene"), "__asks": F.lit(False)}))
+    # Both frames end at the present row, so each row extends the one before; scenes at the same time are seen by both.
+    so_far = lambda order: F.last("__scene", True).over(Window.partitionBy(*keys, "__span").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumns({"__back": so_far("__ts"), "__ahead": so_far(F.desc("__ts"))}).where("__asks")
     gap = lambda c: F.abs(micros(c) - micros("__ts"))
     nearest = F.when(F.col("__ahead").isNull() | (gap("__back") <= gap("__ahead")), F.col("__back")).otherwise(F.col("__ahead"))
-    return met.withColumn("nearest_ts", nearest).select(*keys, F.col("__ts").alias(target_ts), "nearest_ts", gap("nearest_ts").alias("gap_micros"))
+    return met.withColumn("nearest_ts", F.when(F.col("__ts").isNotNull(), nearest)).select(*keys, F.col("__ts").alias(target_ts), "nearest_ts", gap("nearest_ts").alias("gap_micros"))
+
+
+def unusable_scenes(scenes: DataFrame, obs: DataFrame | None = None) -> DataFrame:
+    """(scene_id, scene_ts, reason): scenes that a run passes over and tries again, with what they lack.
+
+    obs: the pixels that were found; a scene with all assets but without any pixel (outside the box, say) is listed too.
+    """
+    found = resolve_assets(scenes)
+    lacks = F.array_join(F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in ASSETS))), ", ")
+    reason = F.when(F.col("scene_ts").isNull(), F.lit("no time in the id")).when(~F.col("usable"), F.concat(F.lit("lacks "), lacks))
+    if obs is not None:
+        seen = obs.select(F.col("scene_ts").alias("__seen")).distinct()
+        found = found.join(seen, F.col("scene_ts") == F.col("__seen"), "left")
+        reason = reason.when(F.col("__seen").isNull(), F.lit("no pixels"))
+    return found.withColumn("reason", reason).where("reason is not null").select("scene_id", "scene_ts", "reason")
 
 
 def resolve_assets(scenes: DataFrame, endings: dict[str, str] | None = None) -> DataFrame:
@@ -101,3 +125,25 @@ def processed_union(old: Column, new: Column) -> Column:
     """Sorted union of two arrays of dates; NULL counts as empty."""
     none = F.array().cast("array<string>")
     return F.array_sort(F.array_union(F.coalesce(old, none), F.coalesce(new, none)))
+
+
+def with_asset(scenes: DataFrame, key: str, href: str) -> DataFrame:
+    """scenes with one more asset; an asset of that key is replaced."""
+    struct = scenes.schema["assets"].dataType.valueType.simpleString()
+    more = F.map_from_arrays(F.array(F.lit(key)), F.array(F.struct(F.lit(href).alias("href")).cast(struct)))
+    return scenes.withColumn("assets", F.map_concat(F.map_filter("assets", lambda k, _: k != key), more))
+
+
+def file_stem(path: Column) -> Column:
+    """A path's last part without its ending."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+
+
+def result_name(what: Column | str, ts: Column) -> Column:
+    """The name of a scene's result: what it is and the scene's full time, so that scenes of one day stay apart."""
+    return F.concat(F.lit(what) if isinstance(what, str) else what, F.lit("_"), F.date_format(ts, SCENE_ID_FORMAT))
+
+
+def time_in_name(name: Column) -> Column:
+    """The time at the end of a result's name, NULL if there is none."""
+    return parse_scene_id(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}[tT]\d{6})$", 1))

@@ -117,13 +117,15 @@ def score(features: DataFrame, scorer: Scorer | SparkModel, mode: str = "proba",
     if mode not in ("proba", "label"):
         raise ValueError("mode must be proba or label")
     if isinstance(scorer, SparkModel):
-        rest = features.where(~complete(features)).withColumn("proba", F.lit(None).cast("double"))
-        done = scorer.apply(features.where(complete(features))).select(*features.columns, "proba").unionByName(rest)
+        # One pass: rows that aren't complete are scored as zeros, and their scores are dropped.
+        names = {f: f"__{f}" for f in FEATURES.values()}
+        filled = features.withColumn("__whole", complete(features)).withColumnsRenamed(names)
+        filled = filled.withColumns({f: F.coalesce(F.col(o), F.lit(0.0)) for f, o in names.items()})
+        scored = scorer.apply(filled).withColumn("proba", F.when(F.col("__whole"), F.col("proba")))
+        done = scored.withColumns({f: F.col(o) for f, o in names.items()}).select(*features.columns, "proba")
     else:
         columns = {f: F.col(f) for f in FEATURES.values()}
         done = features.withColumn("proba", F.when(complete(features), scorer.probability(columns)))
     if mode == "proba":
         return done
     return done.withColumn("label", null_to_sentinel(F.when(F.col("proba") > threshold, 1).when(F.col("proba").isNotNull(), 0), NODATA).cast("int")).drop("proba")
-
-

@@ -76,17 +76,12 @@ def final_bounds(df: DataFrame, keys: list[str], indices: Iterable[str] = INDICE
         return df.groupBy(*keys).agg(*made)
     if not order:
         raise ValueError("inf_policy reset needs an order")
+    # The last row's running bounds: the window's exchange by pixel serves the aggregate as well, and the source is read once.
     at = F.struct(*order)
-    last = df.groupBy(*keys).agg(*(F.max(F.when(F.col(i) == v, at)).alias(f"__{i}_{e}") for i in indices for e, v in (("min", -INF), ("max", INF))))
-    met = df.join(last, keys)
-    made = []
-    for i in indices:
-        for e, f in (("min", F.min), ("max", F.max)):
-            cut = F.col(f"__{i}_{e}")
-            made.append(f(F.when(cut.isNull() | (at > cut), finite(F.col(i)))).alias(f"{i}_{e}"))
-            if flags:
-                made.append(F.max(cut.isNotNull()).alias(f"{i}_{e}_reset"))
-    return met.groupBy(*keys).agg(*made)
+    made = [F.max_by(f"{i}_{e}", at).alias(f"{i}_{e}") for i in indices for e in ("min", "max")]
+    if flags:
+        made += [F.coalesce(F.bool_or(F.col(i) == v), F.lit(False)).alias(f"{i}_{e}_reset") for i in indices for e, v in (("min", -INF), ("max", INF))]
+    return running_bounds(df, keys, order, indices, "reset").groupBy(*keys).agg(*made)
 
 
 def merge_bounds(old: DataFrame, new: DataFrame, keys: list[str], indices: Iterable[str] = INDICES) -> DataFrame:

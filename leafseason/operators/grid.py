@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from leafseason.functions.arithmetic import sentinel_to_null
 from leafseason.schema import EMPTY_TEMPLATE
 
+#: (minx, miny, maxx, maxy), or nothing.
+Box = tuple[float, float, float, float] | None
 
-def clip(df: DataFrame, bbox: tuple[float, float, float, float] | None, cell: float = 0.0) -> DataFrame:
+
+def clip(df: DataFrame, bbox: Box, cell: float = 0.0) -> DataFrame:
     """Rows whose cell (centre x, y and width `cell`) meets the box (minx, miny, maxx, maxy); without a box all rows."""
     if bbox is None:
         return df
@@ -17,7 +20,7 @@ def clip(df: DataFrame, bbox: tuple[float, float, float, float] | None, cell: fl
     return df.where(F.col("x").between(minx - cell / 2, maxx + cell / 2) & F.col("y").between(miny - cell / 2, maxy + cell / 2))
 
 
-def template_grid(template: DataFrame, bbox: tuple[float, float, float, float] | None = None, value: str = "seed", cell: float = 0.0) -> DataFrame:
+def template_grid(template: DataFrame, bbox: Box = None, value: str = "seed", cell: float = 0.0) -> DataFrame:
     """The cells of a template, clipped; its empty value becomes NULL, other values seed the bounds."""
     return clip(template, bbox, cell).withColumn(value, sentinel_to_null(F.col(value), EMPTY_TEMPLATE))
 
@@ -51,3 +54,13 @@ def on_grid(grid: DataFrame, scene: DataFrame, keys: list[str]) -> DataFrame:
 def by_chunk(df: DataFrame, size: int = 1024) -> DataFrame:
     """Deal rows out by square chunks of cells, so that neighbours are written together."""
     return df.repartition(F.floor(F.col("row") / size), F.floor(F.col("col") / size))
+
+
+def with_reference(df: DataFrame, epsg: int, *columns: str) -> DataFrame:
+    """df with the number of its spatial reference in the metadata of the columns, where Parquet files keep it."""
+    return df.withColumns({c: F.col(c).alias(c, metadata=df.schema[c].metadata | {"epsg": epsg}) for c in columns})
+
+
+def reference(df: DataFrame, column: str) -> int | None:
+    """The spatial reference that a column carries, if any."""
+    return df.schema[column].metadata.get("epsg")

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafseason.operators.catalog import iso
+from leafseason.operators.season import final_bounds, merge_bounds
 from leafseason.schema import STATE_META
 
 
@@ -53,3 +55,24 @@ def save_bounds(bounds: DataFrame, folder: str, year: int, dates: list[str], par
     row = [(year, version, union, datetime.now(UTC).isoformat())]
     spark.createDataFrame(row, STATE_META).coalesce(1).write.mode("append").json(f"{folder}/meta")
     return version
+
+
+def fold(vis: DataFrame, keys: list[str], folder: str, year: int, old: DataFrame | None) -> None:
+    """Merge the bounds of a batch of masked indices with the old ones and mark its scenes; nothing is written without rows."""
+    dates = [r[0] for r in vis.select(iso(F.col("scene_ts"))).distinct().collect()]  # the scenes of one run
+    if dates:
+        batch = final_bounds(vis, keys)
+        save_bounds(merge_bounds(old, batch, keys) if old is not None else batch, folder, year, dates)
+
+
+def prune(spark: SparkSession, folder: str, year: int, keep: int = 2) -> int:
+    """Delete all but the newest `keep` versions of a year's bounds, once nothing reads them any more. Returns how many went."""
+    newest = load_meta(spark, folder, year).first()
+    gone = 0
+    for version in range((newest["version"] if newest else 0) - keep, 0, -1):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/bounds/year={year}/version={version}")
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.exists(path):
+            break
+        gone += files.delete(path, True)
+    return gone

@@ -13,29 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leafseason.operators.season import final_bounds, merge_bounds, running_bounds
-from leafseason.plans.pipeline import PIXEL, masked_indices
+from leafseason.operators.grid import Box
+from leafseason.operators.season import running_bounds
+from leafseason.plans.pipeline import PIXEL, grid_seed, masked_indices, prepared
 from leafseason.sources import state
 from leafseason.workers import ship
 
 ship(__name__)
 
 
-def season_stream(obs: DataFrame, folder: str, checkpoint: str, year: int, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Fold a stream of observations into the bounds in folder, all that is there now. on_batch gets each batch with its running bounds."""
+def season_stream(
+    obs: DataFrame,
+    folder: str,
+    checkpoint: str,
+    year: int,
+    on_batch: Callable[[DataFrame, int], None] | None = None,
+    forest: DataFrame | None = None,
+    grid: DataFrame | None = None,
+    bbox: Box = None,
+) -> StreamingQuery:
+    """Fold a stream of observations into the bounds of a year in folder, all that is there now.
+
+    Every row counts, so a scene may come in any number of files and batches; rows of other years, outside the box or off the
+    grid are passed over. Rows that come twice change no bound. grid's seed values start a year without bounds. on_batch gets
+    each batch with its running bounds and number; a batch that is repeated after a failure keeps its number.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = state.processed_dates(spark, folder, year).withColumnRenamed("processed_date", "d")
-        rows = batch.withColumn("d", F.date_format("scene_ts", "yyyy-MM-dd'T'HH:mm:ss")).join(done, "d", "left_anti")
-        vis = masked_indices(rows)
+        vis = masked_indices(prepared(batch, year, bbox, grid), forest)
         old = state.load_bounds(spark, folder, year)
+        if old is None and grid is not None:
+            old = grid_seed(grid)
         if on_batch is not None:
             on_batch(running_bounds(vis, PIXEL, ["scene_ts"], seed=old), number)
-        new = final_bounds(vis, PIXEL)
-        dates = [r[0] for r in rows.select("d").distinct().collect()]  # the scenes of one batch
-        if dates:
-            state.save_bounds(merge_bounds(old, new, PIXEL) if old is not None else new, folder, year, dates)
+        state.fold(vis, PIXEL, folder, year, old)
 
     return obs.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -82,5 +94,6 @@ def running_by_state(stream: DataFrame, key: str, order: str, value: str) -> Dat
     return stream.select(key, order, value).groupBy(key).applyInPandasWithState(fold, out, "low double, high double", "append", "NoTimeout")
 
 
-def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)

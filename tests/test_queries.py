@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-from leafseason.plans.queries import ORACLE_SQL, QUERIES  # noqa: E402
+from leafseason.plans.products import ORACLE_SQL, QUERIES  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 

@@ -49,6 +49,13 @@ def new_scenes(scenes: DataFrame, processed: DataFrame) -> DataFrame:
     return fresh.join(processed.select(F.col("processed_date").alias("__iso")), "__iso", "left_anti").drop("__iso")
 
 
+def scene_counts(scenes: DataFrame, processed: DataFrame) -> DataFrame:
+    """One row (n_scenes, n_processed, n_new) of the scenes by time."""
+    n = scenes.agg(F.count_distinct("scene_ts").alias("n_scenes"))
+    fresh = new_scenes(scenes, processed).agg(F.count("*").alias("n_new"))
+    return n.crossJoin(fresh).select("n_scenes", (F.col("n_scenes") - F.col("n_new")).alias("n_processed"), "n_new")  # one row by one row
+
+
 def closest_scene(scenes: DataFrame, target: str) -> DataFrame:
     """The scene of April to September of the target's year nearest to the target's midnight; ties to the earlier. Empty if none."""
     year = season_year(target)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from leafseason.operators import catalog, grid, observe
 from leafseason.operators.score import Logistic
 from leafseason.plans import pipeline
 from leafseason.plans.adapter import KEYS, OBS, observations, table
-from leafseason.plans.queries import COMPLETE, INTERCEPT, ORACLE_SQL, PLAIN, QUERIES, SQL_KEYS, WEIGHTS, Z, _scratch, query, scenes
+from leafseason.plans.queries import COMPLETE, INTERCEPT, ORACLE_SQL, PLAIN, QUERIES, SQL_KEYS, WEIGHTS, Z, query, scenes
 from leafseason.schema import INDICES
 from leafseason.sources import files, state
+from leafseason.sources.scratch import scratch
 from leafseason.streaming import season_stream
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -88,7 +91,7 @@ def run_season_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {SCALED} select {SCENE}, row, col, {PROBA} from scaled where y = {YEAR}")
 def run_batch_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half a year's scenes, then the rest against the state that the first run kept."""
-    obs, folder = monthly(spark, sf_dir), _scratch(spark, "state")
+    obs, folder = monthly(spark, sf_dir), scratch(spark, "state")
     known = obs.select("scene_ts").distinct()
     runs = [pipeline.run_batch(known, obs, folder, f"{YEAR}-01-01", scorer=MODEL, end=f"{YEAR}-{end}") for end in ("06-30", "12-31")]
     return shown(runs[0].unionByName(runs[1]))
@@ -97,7 +100,7 @@ def run_batch_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {OF_YEAR}, scaled as (select scene_ts, row, col, " + ", ".join(f'("{i}" - "{i}_min") / nullif("{i}_max" - "{i}_min", 0) as "{i}"' for i in INDICES) + f" from vis join kept using (row, col) where scene_ts = timestamp '{YEAR}-07-01') select {SCENE}, row, col, {PROBA} from scaled")
 def run_date_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One date against the bounds of its whole year."""
-    obs, folder = monthly(spark, sf_dir), _scratch(spark, "state")
+    obs, folder = monthly(spark, sf_dir), scratch(spark, "state")
     known = obs.select("scene_ts").distinct()
     pipeline.run_batch(known, obs, folder, f"{YEAR}-01-01", "bounds", end=f"{YEAR}-12-31")
     return shown(pipeline.run_date(spark, known, obs, folder, f"{YEAR}-06-20", MODEL))
@@ -106,7 +109,7 @@ def run_date_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {OF_YEAR} select * from kept")
 def season_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All years' rows arrive in three files, so that scenes are split over batches; the bounds are those of one year."""
-    obs, path = monthly(spark, sf_dir), _scratch(spark, "stream")
+    obs, path = monthly(spark, sf_dir), scratch(spark, "stream")
     obs.repartition(3, "row", "col").write.parquet(f"{path}/in")
     kinds = ", ".join(f"{c} {t}" for c, t in obs.dtypes)
     stream = season_stream.read_stream(spark, f"{path}/in", kinds, files_per_batch=1)
@@ -116,7 +119,7 @@ def season_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SCALED} select {SCENE}, row, col, {PROBA}, 1 as band, strftime(scene_ts, '%Y-%m-%d') as date from scaled")
 def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "predictions")
+    path = scratch(spark, "predictions")
     pipeline.run_season(monthly(spark, sf_dir), scorer=MODEL, sink=path)
     kept = files.read_predictions(spark, path, "part-*")
     return kept.select(F.date_format("scene_ts", "yyyy-MM-dd").alias("scene"), "row", "col", F.round("proba", 6).alias("p"), "band", F.col("date").cast("string").alias("date"))
@@ -124,7 +127,7 @@ def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SCALED} " + " union all ".join(f"select '{i}' as vi, {SCENE}, row, col, \"{i}\" as value from scaled" for i in INDICES))
 def normalized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "normalized")
+    path = scratch(spark, "normalized")
     pipeline.run_season(monthly(spark, sf_dir), "normalized", sink=path)
     return files.read_normalized(spark, path).select("vi", F.date_format("scene_ts", "yyyy-MM-dd").alias("scene"), "row", "col", "value")
 
@@ -164,7 +167,7 @@ def result_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, strftime(ts, '%Y-%m-%dt%H%M%S') as scene_id, date_trunc('second', ts) as scene_ts, 'c' as collection, 'u' || event_id as href from events")
 def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as item collections, a line for each user, read back as a catalogue."""
-    path = _scratch(spark, "catalogue")
+    path = scratch(spark, "catalogue")
     item = F.struct(F.col("scene_id").alias("id"), F.concat(F.lit("c"), F.col("user_id")).alias("collection"), F.create_map(F.lit("a.tif"), F.struct(F.concat(F.lit("u"), "event_id").alias("href"))).alias("assets"))
     scenes(spark, sf_dir).groupBy("user_id").agg(F.collect_list(item).alias("features")).select(F.to_json(F.struct("features"))).write.text(path)
     back = files.read_catalogue(spark, path, lines=True)
@@ -186,7 +189,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select (p_partkey // 50)::bigint as row, (p_partkey % 50)::bigint as col, (p_size % 4 + 252)::double as seed from part where p_size % 4 <> 3")
 def template_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A template written as GeoTIFF squares of 1024 cells and read again; its empty value is NULL."""
-    path = _scratch(spark, "template")
+    path = scratch(spark, "template")
     cells = _cells(spark, sf_dir)
     made = grid.template_grid(cells.withColumns({"x": F.col("col") * 10 + 5.0, "y": -(F.col("row") * 10 + 5.0)}))
     files.write_template(made, path, "grid", (0.0, 0.0), 10.0, epsg=2056)
@@ -197,7 +200,7 @@ def template_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select timestamp '2018-06-27 10:40:21' as scene_ts, (p_partkey // 50)::bigint as row, (p_partkey % 50)::bigint as col, (p_size / 64.0::double)::float::double as proba from part")
 def result_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores written as GeoTIFF squares and found again by the pattern of their names."""
-    path = _scratch(spark, "rasters")
+    path = scratch(spark, "rasters")
     scored = _cells(spark, sf_dir).withColumns({"scene_ts": F.lit("2018-06-27 10:40:21").cast("timestamp"), "proba": F.col("p_size") / 64.0})
     files.export(files.geotiff_tiles(scored, "proba", catalog.result_name("Disco_Proba", F.col("scene_ts")), (0.0, 0.0), 10.0, size=64), path)
     back = grid.cell_index(files.scan_results(spark, path), 0.0, 0.0, 10.0)
@@ -213,3 +216,46 @@ def scene_closest_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = scenes(spark, sf_dir).withColumn("k", F.lit(1))
     asked = every.where("event_id % 2 = 0").select("k", F.col("scene_ts").alias("target_ts"))
     return catalog.closest_per_key(asked, every.where("event_id % 2 = 1"), ["k"], days=4).select("target_ts", "nearest_ts")
+
+
+@query("select (select count(*) from (select distinct ts from events)) as n_scenes, count(*) as n_new, (select count(*) from (select distinct ts from events)) - count(*) as n_processed from (select distinct ts from events where user_id % 3 <> 0) e where not exists (select 1 from events o where o.user_id % 3 = 0 and date_trunc('second', o.ts) = date_trunc('second', e.ts))")
+def scene_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = scenes(spark, sf_dir)
+    done = every.where("user_id % 3 = 0").select(catalog.iso(F.col("scene_ts")).alias("processed_date"))
+    return catalog.scene_counts(every, done)
+
+
+@query(f"with {OF_YEAR} select k.*, (select string_agg(d, ',' order by d) from (select distinct strftime(scene_ts, '%Y-%m-%dT%H:%M:%S') as d from vis where y = {YEAR})) as dates, 2::bigint as version from kept k")
+def state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds and progress as two runs have left them in a state folder."""
+    obs, folder = monthly(spark, sf_dir), scratch(spark, "state")
+    for end in ("06-30", "12-31"):
+        pipeline.run_batch(obs.select("scene_ts").distinct(), obs, folder, f"{YEAR}-01-01", "bounds", end=f"{YEAR}-{end}")
+    meta = state.load_meta(spark, folder, YEAR).select(F.array_join("processed_dates", ",").alias("dates"), "version")
+    return state.load_bounds(spark, folder, YEAR).join(F.broadcast(meta), F.lit(True))  # one row
+
+
+@query(f"with {SCALED} select {SCENE}, row, col, {PROBA} from scaled")
+def model_json_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of score_logistic read from a JSON file."""
+    path = scratch(spark, "model")
+    spark.createDataFrame([(json.dumps({"weights": WEIGHTS, "intercept": INTERCEPT}),)], "value string").coalesce(1).write.text(path)
+    said = files.read_text_json(spark, path).where("length(json) > 0").first()["json"]
+    return shown(pipeline.run_season(monthly(spark, sf_dir), scorer=Logistic.from_json(said)))
+
+
+@query("select (p_partkey // 50)::bigint as row, (p_partkey % 50)::bigint as col, p_size, ((p_partkey // 50) // 8)::bigint as chunk_row, ((p_partkey % 50) // 8)::bigint as chunk_col from part")
+def chunked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = grid.by_chunk(_cells(spark, sf_dir), 8)
+    return dealt.select("row", "col", "p_size", F.floor(F.col("row") / 8).alias("chunk_row"), F.floor(F.col("col") / 8).alias("chunk_col"))
+
+
+@query("select user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as at, min(value) over w as v_min, max(value) over w as v_max from events window w as (partition by user_id order by ts rows unbounded preceding)")
+def stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running bounds of each user from the state store, over one batch of files."""
+    path = scratch(spark, "stream")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    made = season_stream.running_by_state(stream, "user_id", "ts", "value")
+    season_stream.drain(made, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/checkpoint", "append")
+    back = spark.read.parquet(f"{path}/out")
+    return back.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "v_min", "v_max")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +13,14 @@ from leafseason.operators import catalog, grid, mask, season, summary
 from leafseason.operators.score import ArrowModel, Logistic, LogisticModel, every, feature_frame, score
 from leafseason.plans.adapter import KEYS, OBS, observations, table
 from leafseason.schema import FEATURES, INDICES, NODATA
+from leafseason.sources.scratch import scratch
 from leafseason.streaming import season_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: An invented model: the real one is not public.
-WEIGHTS = {"Season_Peak_pct_CCI": 0.3, "Season_Peak_pct_EVI": -0.7, "Season_Peak_pct_CRE": 0.2, "Season_Peak_pct_NDM": -1.1, "Season_Peak_pct_NDV": -0.9}
+WEIGHTS = {FEATURES[i]: w for i, w in {"CCI": 0.3, "EVI": -0.7, "CIRE": 0.2, "NDMI": -1.1, "NDVI": -0.9}.items()}
 INTERCEPT = 1.0
 ORDER = ["ts", "k1", "k2", "k3"]
 SPLIT = "1998-06-01"
@@ -333,14 +333,9 @@ def season_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.season_summary(scored_days(spark, sf_dir)).withColumn("mean_proba", F.round("mean_proba", 12))
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @query("select user_id, min(value) as v_min, max(value) as v_max from events group by user_id")
 def stream_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "stream")
+    path = scratch(spark, "stream")
     kinds = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(kinds).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern it may be a file or a folder
     sent = season_stream.minmax_updates(stream, "user_id", "value")
@@ -351,7 +346,7 @@ def stream_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, min(ts) as first_ts from events group by user_id")
 def stream_new_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "stream")
+    path = scratch(spark, "stream")
     kinds = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(kinds).parquet(f"{sf_dir}/events.parque[t]").select("user_id", "ts")
     scenes = season_stream.first_seen(stream, "user_id", "ts")  # a scene is known by its time; late ones may be a user's first

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafseason.sources.scratch import delete, materialise, release, shared_dir, write_table
 from leafseason.workers import ship
 
+__all__ = ["batches_by_bytes", "bounded", "delete", "held_out", "materialise", "once", "parse_size", "release", "shared_dir", "ship", "small_batches", "tasks_for", "text_bytes", "total_bytes", "write_table"]
+
 def once(key: tuple, make: Callable[[], Any]) -> Any:
     """make(), kept for the life of a worker process; works for functions sent by value too."""
     kept = sys.__dict__.setdefault("_leafseason_kept", {})
@@ -22,28 +24,39 @@ def once(key: tuple, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where spark.checkpoint.dir is unset (tests), one below the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write df once to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def parse_size(text: str) -> int:
+    """Bytes in a size as Spark writes it: a number and b, k, kb, m, mb, g, gb, t, tb, p or pb; bytes without a unit."""
+    number = text.strip().lower().rstrip("bkmgtp")
+    unit = text.strip().lower()[len(number) :].removesuffix("b")
+    return int(number) << (10 * " kmgtp".index(unit or " "))
 
 
 def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
-    """Let no Arrow batch to Python exceed size bytes by more than a row."""
+    """Let no Arrow batch to Python exceed size bytes by more than a row.
+
+    The session's own setting is lowered if it is larger, and stays so: results are computed when the caller asks for them.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    said = spark.conf.get(name, None) or ""
-    if not said or said[-1] != "b" or int(said[:-1]) > size:
+    said = spark.conf.get(name, None)
+    if not said or not 0 < parse_size(said) <= size:
         spark.conf.set(name, f"{size}b")
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has no more than `most` rows, which must be of bounded size; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def total_bytes(docs: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+
+
+def tasks_for(spark: SparkSession, size: int, each: int) -> int:
+    """Partitions for size bytes, of about `each` bytes, but no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text is divisible by 5; a null id counts as the empty text, which is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

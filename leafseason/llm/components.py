@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafseason.llm.common import materialise
+from leafseason.llm.common import delete, write_table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +27,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; edges has long columns u and v, root is the smallest node reachable.
 
-    Each round is written to the shared folder. The loop ends when a round changes nothing; rounds grow with the
+    Each round is written to the shared folder, and the round before it is deleted. The loop ends when a round changes nothing; rounds grow with the
     logarithm of the longest chain. Self-edges are ignored; an empty table gives an empty result.
     """
-    now = materialise(edges.select("u", "v").where("u != v").distinct(), "edges")
+    now, path = write_table(edges.select("u", "v").where("u != v").distinct(), "edges")
     said = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
         if seen == said or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select("v", "v").distinct().toDF("node", "root"))
-        said = seen
-        now = materialise(_star(_star(now, True), False), "edges")
+        said, before = seen, path
+        now, path = write_table(_star(_star(now, True), False), "edges")
+        delete(edges.sparkSession, before)

@@ -5,8 +5,11 @@ the id, that are not held out, bins each statistic into at most `BINS` quantile
 on the logistic loss. The trees are flattened into arrays (feature, threshold, leaf value by node number), and scoring
 walks all rows and trees together, level by level, with numpy.
 
-A null text counts as empty and is scored like any other. Labels that are null are not learnt from; repeated labels count
-each. Without both labels to learn from, every score is the mean label (0.5 without any). Null ids count as held out.
+A null text counts as empty and is scored like any other. Labels that are null are not learnt from; labels of one id are
+averaged, and of documents that share an id the one with the least statistics is learnt from, so each id counts once. Without
+both labels to learn from, every score is the mean label (0.5 without any). Null ids count as held out. Repeated rows are
+scored each, empty tables give empty results, other columns are not looked at. Texts of any length are read whole; a task
+holds one text's words at a time, so a text must fit in a worker's memory some times over.
 """
 
 from __future__ import annotations
@@ -143,11 +146,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     small_batches(docs.sparkSession)
     rows = materialise(document_statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("y is not null")
-    known = known.where(~held_out(F.col("id")))
+    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.avg("y").alias("y"))
     n = known.count()
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-    some = known.where(draw < min(1.0, sample / max(1, n)))
-    found = rows.where("not held_out").select("id", "x").join(some, "id").select("id", "x", "y").toPandas().sort_values(["id", "y"], kind="stable")
+    some = known.where(draw < min(1.0, sample / max(1, n)))  # about `sample` rows of two numbers
+    learnt = rows.where("not held_out").select("id", "x").join(F.broadcast(some), "id").groupBy("id").agg(F.min(F.struct("x", "y")).alias("l"))
+    found = learnt.select("id", "l.x", "l.y").toPandas().sort_values("id", kind="stable")
     x = np.array(found["x"].tolist(), np.float32).reshape(-1, len(STATISTICS))
     model = docs.sparkSession.sparkContext.broadcast(vars(fit(x, found["y"].to_numpy())))
 

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = 32.0
-SMALL = 10_000  # sources that may be broadcast: under 10 MB
+SMALL = 10_000  # sources that may be broadcast, with a distribution of about 1 kB each
+BYTES = 10 << 20  # of their names together
 
 
 def uniform(seed: str, *keys: Column) -> Column:
@@ -62,16 +63,27 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None, epoch
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs replicated to the target weights and shuffled, with replica (from 1) and mix_key, the order of the shuffle."""
     rates = repetition_rates(docs, weights, epochs, source_col, text_col)
-    plain = docs.drop("replica", "mix_key")
-    if docs.select(source_col).distinct().limit(SMALL + 1).count() <= SMALL:
-        rates = F.broadcast(rates)
-    rated = plain.join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
-    ident = F.col(id_col)
+    whole = docs.drop("replica", "mix_key")
+    plain = whole.select(F.struct(*whole.columns).alias("__row"))  # apart from the names used here
+    of = F.col("__row")[source_col]
+    same = of.eqNullSafe(F.col("__source"))
+    held = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("__rows"))
+    n, size, rows = held.agg(F.count("*"), F.sum(F.octet_length(F.col("__source").cast("string"))), F.sum("__rows")).first()
+    if n <= SMALL and (size or 0) <= BYTES:
+        rated = plain.join(F.broadcast(rates), same)
+    else:
+        # Sources with at least 1 / SMALL of the rows, of which there are SMALL at most, don't take part in the shuffle by source.
+        large = held.where((F.col("__rows") * SMALL >= rows) & (F.coalesce(F.octet_length(F.col("__source").cast("string")), F.lit(0)) <= BYTES // SMALL)).select(F.col("__source").alias("__large"))
+        is_large = F.col("__source").eqNullSafe(F.col("__large"))
+        mine = of.eqNullSafe(F.col("__large"))
+        rated = plain.join(F.broadcast(rates.join(F.broadcast(large), is_large, "left_semi")), same)
+        rated = rated.unionByName(plain.join(F.broadcast(large), mine, "left_anti").join(rates.join(F.broadcast(large), is_large, "left_anti"), same))
+    ident = F.col("__row")[id_col]
     draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda k: uniform(seed, ident, k))
     count = F.aggregate(draws, F.lit(0), lambda s, u: s + F.size(F.filter(F.col("__below"), lambda c: c <= u)))
     copies = rated.withColumn("__n", count).where("__n > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(ident.cast("string"), F.lit("")), F.col("replica"))))
-    return keyed.select(*plain.columns, "replica", "mix_key").orderBy("mix_key")
+    return keyed.select("__row.*", "replica", "mix_key").orderBy("mix_key")
 
 
 def mix_sql(seed: str = "mix", epochs: float = 1.0) -> str:

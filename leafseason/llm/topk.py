@@ -65,8 +65,11 @@ class ImpactIndex:
         own = np.zeros(self.dims, np.int64)
         own[: min(len(query), self.dims)] = query[: self.dims]
         q = own[self.dim]
-        ends = np.stack((q * self.least, q * (self.least + (1 << self.shift) - 1)))
-        low, high = ends.min(axis=0).astype(np.float64), ends.max(axis=0).astype(np.float64)
+        ends = q.astype(np.float64) * np.stack((self.least, self.least + float((1 << self.shift) - 1)))
+        low, high = ends.min(axis=0), ends.max(axis=0)
+        # Bounds are exact up to 2**52; beyond, what rounding may have cost is taken off the bar.
+        reach = np.maximum(np.abs(low), np.abs(high)).reshape(self.dims, -1).max(axis=1, initial=0).sum()
+        error = 0.0 if reach < 2**52 else reach * 2.0**-50 * (self.dims + 4)
         used = np.flatnonzero(np.diff(self.begin) > 0)
         order = used[np.argsort(-np.maximum(np.abs(low[used]), np.abs(high[used])), kind="stable")]
         floor, slack = np.zeros(n), np.zeros(n)
@@ -85,7 +88,7 @@ class ImpactIndex:
             np.minimum.at(less, self.dim[left], low[left])
             sure = floor + less.sum()
             bar = np.partition(sure, n - k)[n - k] if n > k else -np.inf
-            members = np.flatnonzero(floor + slack + more.sum() >= bar)
+            members = np.flatnonzero(floor + slack + more.sum() >= bar - error)
             if len(members) <= 4 * k:  # proof: all others are beaten by k vectors
                 break
         score = self.vectors[members] @ own

@@ -5,7 +5,8 @@ neighbour is no blank and that is not the last character. No piece of such a voc
 character (this is verified when the model is loaded; otherwise nothing is cut), and the library writes a blank before each
 text, so the part after the cut leaves its own blank out and gets the same tokens as inside the whole text.
 
-Null texts count as empty, empty texts have no tokens, repeated rows are counted each, other columns are not looked at.
+A text without safe blanks, such as one in a script without blanks, is encoded whole. Null texts count as empty, empty texts
+have no tokens, repeated rows are counted each, empty tables give empty results, other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ BANDS_20M = "scene_id string, y double, x double, swir float, rededge float"
 MASKS_10M = "scene_id string, y double, x double, terrain float, cloud float"
 FOREST_MASK = "y double, x double, forest int"
 TEMPLATE = "y double, x double, seed float"
-STATE_META = "year int, version long, processed_dates array<string>, last_updated string"
+STATE_META = "year int, version long, processed_dates array<string>, last_updated string, base long"
 
 #: Vegetation indices in the order in which they are computed, and the model's features in its own order.
 INDICES = ("NDVI", "EVI", "NDMI", "CIRE", "CCI")

@@ -39,7 +39,22 @@ def test_a_scene_in_two_files_keeps_all_pixels(spark, tmp_path):
     assert got.count() == 6 and same(got, want)
     assert state.load_bounds(spark, folder, 2019) is None
     assert state.load_meta(spark, folder, 2018).first().version == 2
-    assert state.prune(spark, folder, 2018, keep=1) == 1 and state.load_bounds(spark, folder, 2018).count() == 6
+    assert state.prune(spark, folder, 2018) == 0
+    state.compact(spark, folder, 2018)
+    assert state.load_meta(spark, folder, 2018).first().version == 3
+    assert state.prune(spark, folder, 2018) == 2 and same(state.load_bounds(spark, folder, 2018), want)
+
+
+def test_parts_are_joined_in_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "CHAIN", 3)
+    obs, folder = pixels(spark, [T(2018, 6, d) for d in range(1, 6)]), str(tmp_path / "s")
+    scenes, read = obs.select("scene_ts").distinct(), []
+    for d in range(1, 6):
+        pipeline.run_batch(scenes, obs, folder, "2018-06-01", "bounds", end=f"2018-06-0{d}")
+        meta = state.load_meta(spark, folder, 2018).first()
+        read.append((meta.version, meta.base, len(meta.processed_dates)))
+    assert read == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (5, 5, 4), (6, 5, 5)]
+    assert same(state.load_bounds(spark, folder, 2018), pipeline.final_bounds(pipeline.masked_indices(obs), pipeline.PIXEL))
 
 
 def test_batches_take_pieces_boxes_grids_and_sinks(spark, tmp_path):

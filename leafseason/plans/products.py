@@ -202,7 +202,7 @@ def result_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores written as GeoTIFF squares and found again by the pattern of their names."""
     path = scratch(spark, "rasters")
     scored = _cells(spark, sf_dir).withColumns({"scene_ts": F.lit("2018-06-27 10:40:21").cast("timestamp"), "proba": F.col("p_size") / 64.0})
-    files.export(files.geotiff_tiles(scored, "proba", catalog.result_name("Disco_Proba", F.col("scene_ts")), (0.0, 0.0), 10.0, size=64), path)
+    files.export(files.geotiff_tiles(scored, "proba", catalog.result_name("Proba", F.col("scene_ts")), (0.0, 0.0), 10.0, size=64), path)
     back = grid.cell_index(files.scan_results(spark, path), 0.0, 0.0, 10.0)
     return back.where("proba is not null").select(F.col("scene_ts").cast("timestamp_ntz").alias("scene_ts"), "row", "col", F.col("proba").cast("double").alias("proba"))
 

@@ -118,7 +118,7 @@ def read_predictions(spark: SparkSession, path: str, pattern: str | None = None)
     return reader.parquet(path).withColumn("file_name", F.col("_metadata.file_name")).orderBy("scene_ts")
 
 
-def scan_results(spark: SparkSession, path: str, pattern: str = "Disco_Proba_*.tif", bands: dict[str, int] | None = None) -> DataFrame:
+def scan_results(spark: SparkSession, path: str, pattern: str = "Proba_*.tif", bands: dict[str, int] | None = None) -> DataFrame:
     """Pixels of the result rasters in a folder whose names fit the pattern, with scene_ts from the name, ordered by name."""
     pixels = read_geotiff(spark, f"{path}/{pattern}", bands or {"proba": 1})
     named = pixels.withColumn("name", file_stem(F.col("path")))

@@ -2,17 +2,19 @@
 
 Every string of `width` bytes is filed under its minimizer: the gram of `GRAM` bytes inside it with the smallest hash
 (leftmost on ties). Neighbouring strings of a document that share the minimizer's place form one segment, so equal strings
-always meet under the same gram, whatever documents they come from. Segments are counted by (gram, content) first; only
-grams with several different segments need their bytes. Those go, gram by gram, into a run-length index: suffix order,
-Burrows-Wheeler transform, its runs, and the longest common prefixes sampled at run ends. Matching statistics of every
-position against all other positions then stream from those samples, because between run ends they fall by one a byte.
+always meet under the same gram, whatever documents they come from. Grams that occur once are left aside at once. Equal
+segments of the others are counted, by 128 bits of content hash besides the gram's 64, and enter the index once with their
+number; a number above one marks the whole segment. Grams with several different segments go, gram by gram, into a run-length
+index: suffix order, Burrows-Wheeler transform, its runs, and the longest common prefixes sampled at run ends. Matching
+statistics of every position against all other positions then stream from those samples, because between run ends they fall
+by one a byte; there strings are compared byte by byte.
 
-Equal segments enter the index once with their count; a count above one marks the whole segment. Grams with more than
-`hot` different segments are not gathered in one task: their strings are counted one by one in Spark instead, which gives
-the same marks.
+A gram with more than `hot` different segments is not gathered in one task: its strings are filed anew under longer grams,
+again and again up to the whole string, until no gram has more, and each level is counted and indexed like the first.
 
 Texts that are null count as empty, documents shorter than `width` lose nothing, repeated rows are documents of their own
-(and so repeat each other), an empty table gives an empty result, and other columns are never looked at.
+(and so repeat each other), an empty table gives an empty result, and other columns are never looked at. Long texts are
+scanned piece by piece; a text itself must fit in a worker's memory.
 """
 
 from __future__ import annotations
@@ -22,36 +24,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from leafseason.llm.common import materialise, once, ship, small_batches, text_bytes
+from leafseason.llm.common import bounded, materialise, once, ship, small_batches, text_bytes
 
 ship(__name__)
 
 GRAM = 32
 CHUNK = 1 << 17  # string starts handled at a time, so that long texts need little memory
-PLACE = np.uint64((1 << 18) - 1)
-BASE = 0x9E3779B97F4A7C15
+BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # two content hashes
 BUCKET = 1 << 20  # bytes of segments indexed together
+COPIES = 64  # rows of one text and id, beyond which they are spread over tasks
 
-STATS = "h long, c long, n long, k1 long, k2 long, lo long, ns int"
-ROWS = "h long, c long, k1 long, k2 long, lo long, ns int"
+GRAMS = "h long, n long"
+ROWS = "h long, c long, d long, n long, k1 long, k2 long, lo long, ns int"
+REFILED = ROWS + ", seg binary"
 SEGMENTS = "h long, n long, k1 long, k2 long, lo long, ns int, seg binary"
-WINDOWS = "h long, n long, k1 long, k2 long, lo long, w1 long, w2 long"
 MARKS = "k1 long, k2 long, lo long, hi long"
+ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64."""
+def levels(width: int) -> list[int]:
+    """Lengths of the grams under which strings are filed: the first, longer ones for grams with too many segments, the whole string."""
+    return sorted({GRAM, max(GRAM, width // 2), max(GRAM, width * 4 // 5), width})
+
+
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of base and of its inverse modulo 2**64."""
 
     def of(x: int) -> np.ndarray:
         p = np.full(n, x, np.uint64)
         p[0] = 1
         return np.multiply.accumulate(p)
 
-    return once(("powers", n), lambda: (of(BASE), of(pow(BASE, -1, 2**64))))
+    return once(("powers", n, base), lambda: (of(base), of(pow(base, -1, 2**64))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,47 +79,69 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums of (byte + 1) * BASE**place; differences give the hash of any stretch."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(CHUNK + 4096)[0][: len(data)], out=out[1:])
-    return out
-
-
-def segments(text: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk of a text: gram hash, content hash, first start and number of starts of its segments."""
+def segments(text: bytes, width: int, gram: int, content: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each chunk of a text: gram hash and, with content, two content hashes, first start and number of starts of its segments."""
     whole = np.frombuffer(text, np.uint8)
-    inverse = powers(CHUNK + 4096)[1]
+    place_bits = np.uint64((1 << (CHUNK + width).bit_length()) - 1)
+    # Short texts share the tables of a whole chunk.
+    (power, inverse), (power2, inverse2) = (powers(CHUNK + width, b) for b in BASES)
     for at in range(0, len(whole) - width + 1, CHUNK):
-        data = whole[at : at + CHUNK + width - 1]
-        sums = prefix_hash(data)
-        gram = mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1])
-        packed = (gram & ~PLACE) | np.arange(len(gram), dtype=np.uint64)
-        place = (sliding_min(packed, width - GRAM + 1) & PLACE).astype(np.int64)
+        data = whole[at : at + CHUNK + width - 1].astype(np.uint64) + np.uint64(1)
+        n = len(data)
+        # Sums of (byte + 1) * base**place; differences give the hash of any stretch.
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * power[:n], dtype=np.uint64)))
+        own = mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
+        packed = (own & ~place_bits) | np.arange(len(own), dtype=np.uint64)
+        place = (sliding_min(packed, width - gram + 1) & place_bits).astype(np.int64)
         lo = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
+        if not content:
+            yield (own[place[lo]].view(np.int64),)
+            continue
         hi = np.append(lo[1:], len(place))
         end = hi + width - 1
-        content = mixed(((sums[end] - sums[lo]) * inverse[lo]) ^ ((end - lo).astype(np.uint64) << np.uint64(40)) ^ (gram[place[lo]] >> np.uint64(7)))
-        yield gram[place[lo]].view(np.int64), content.view(np.int64), lo + at, (hi - lo).astype(np.int32)
+        sums2 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * power2[:n], dtype=np.uint64)))
+        length = (end - lo).astype(np.uint64) << np.uint64(40)
+        c = mixed(((sums[end] - sums[lo]) * inverse[lo]) ^ length)
+        d = mixed(((sums2[end] - sums2[lo]) * inverse2[lo]) ^ length)
+        yield own[place[lo]].view(np.int64), c.view(np.int64), d.view(np.int64), lo + at, (hi - lo).astype(np.int32)
+
 
+def count_grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """How many segments each gram has, summed over some texts at a time."""
+    held: list[np.ndarray] = []
+    size = 0
 
-def scan(batches: Iterator[pa.RecordBatch], width: int, counted: bool) -> Iterator[pa.RecordBatch]:
-    """Segments of each text; counted: equal ones of a batch as one row with their number."""
+    def out() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    for batch in batches:
+        for text in text_bytes(batch.column("text")):
+            for x in segments(text, width, GRAM, False):
+                held.append(x[0])
+                size += len(x[0])
+            if size > 400_000:
+                yield out()
+                held.clear()
+                size = 0
+    if held:
+        yield out()
+
+
+def list_segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """All segments of each text, as ROWS."""
     for batch in batches:
-        k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
+        k1, k2 = (np.asarray(batch.column(c)) for c in ("k1", "k2"))
         found: list[tuple] = []
+        held = 0
 
-        def out(found=found, k1=k1, k2=k2):
+        def out(found=found, k1=k1, k2=k2) -> pa.RecordBatch:
             doc = np.concatenate([np.full(len(x[1]), x[0]) for x in found])
-            h, c, lo, ns = (np.concatenate([x[i] for x in found]) for i in (1, 2, 3, 4))
-            if not counted:
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, k1[doc], k2[doc], lo, ns)], names=["h", "c", "k1", "k2", "lo", "ns"])
-            _, at, n = np.unique(h.view(np.uint64) * np.uint64(BASE) ^ c.view(np.uint64), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], c[at], n, k1[doc[at]], k2[doc[at]], lo[at], ns[at])], names=["h", "c", "n", "k1", "k2", "lo", "ns"])
+            h, c, d, lo, ns = (np.concatenate([x[i] for x in found]) for i in range(1, 6))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, d, np.ones(len(h), np.int64), k1[doc], k2[doc], lo, ns)], names=["h", "c", "d", "n", "k1", "k2", "lo", "ns"])
 
-        held = 0
-        for i, text in enumerate(text_bytes(batch.column(2))):
-            for x in segments(text, width):
+        for i, text in enumerate(text_bytes(batch.column("text"))):
+            for x in segments(text, width, GRAM):
                 found.append((i, *x))
                 held += len(x[0])
             if held > 200_000:
@@ -213,11 +242,17 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_marks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Index sorted segments some grams at a time and emit the covered bytes of those that occur once."""
+    """Index segments, sorted by gram, text and place, some grams at a time and emit the covered bytes of those that occur once."""
     kept: list[pa.RecordBatch] = []
     held = 0
 
     def done(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first = np.ones(batch.num_rows, bool)
+        for c in ("h", "k1", "k2", "lo"):  # rows that came twice are neighbours
+            x = np.asarray(batch.column(c))
+            first[1:] = (x[1:] != x[:-1]) | (first[1:] if c != "h" else False)
+        first[0] = True
+        batch = batch.filter(pa.array(first))
         h, n, k1, k2, lo, ns = (np.asarray(batch.column(i)) for i in range(6))
         texts = text_bytes(batch.column(6))
         length = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -253,30 +288,61 @@ def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def extract(batches: Iterator[pa.RecordBatch], text: str, width: int, windows: bool) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments of each text, or with windows the hash of each of their strings."""
+def extract(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of the wanted segments of each text, as SEGMENTS. Equal texts of a task bring the same; only the first one counts."""
+    seen: set[tuple[int, int]] = set()
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        arrays = [pa.array(np.concatenate([x[i] for x in held])) for i in range(6)] + [pa.array([y for x in held for y in x[6]], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["h", "n", "k1", "k2", "lo", "ns", "seg"])
+
     for batch in batches:
-        texts = text_bytes(batch.column(text))
-        for x, want in zip(texts, batch.column("__want").to_pylist(), strict=True):
+        for x, want in zip(text_bytes(batch.column("__text")), batch.column("__want").to_pylist(), strict=True):
             k1, k2 = want[0]["k1"], want[0]["k2"]
-            h, n, lo, ns = (np.array([w[f] for w in want], np.int64) for f in ("h", "n", "lo", "ns"))
-            if not windows:
-                cut = [x[a : a + b + width - 1] for a, b in zip(lo, ns, strict=True)]
-                arrays = [pa.array(h), pa.array(n), pa.array(np.full(len(h), k1)), pa.array(np.full(len(h), k2)), pa.array(lo), pa.array(ns.astype(np.int32)), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["h", "n", "k1", "k2", "lo", "ns", "seg"])
+            if (k1, k2) in seen:
                 continue
-            for i in range(len(h)):
-                digests = np.frombuffer(b"".join(hashlib.blake2b(x[s : s + width], digest_size=16).digest() for s in range(lo[i], lo[i] + ns[i])), np.int64).reshape(-1, 2)
-                at = lo[i] + np.arange(ns[i])
-                arrays = [pa.array(y) for y in (np.full(len(at), h[i]), np.full(len(at), n[i]), np.full(len(at), k1), np.full(len(at), k2), at, digests[:, 0].copy(), digests[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["h", "n", "k1", "k2", "lo", "w1", "w2"])
+            seen.add((k1, k2))
+            h, n, lo, ns = (np.array([w[f] for w in want], np.int64) for f in ("h", "n", "lo", "ns"))
+            cut = [x[a : a + b + width - 1] for a, b in zip(lo, ns, strict=True)]
+            held.append((h, n, *(np.full(len(h), k, np.int64) for k in (k1, k2)), lo, ns.astype(np.int32), cut))
+            size += sum(map(len, cut))
+            if size > 1 << 22:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def refile(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The strings of segments filed under grams of another length, as REFILED; whole strings (gram = width) go without their bytes."""
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        arrays = [pa.array(np.concatenate([x[i] for x in held])) for i in range(8)] + [pa.array([y for x in held for y in x[8]], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["h", "c", "d", "n", "k1", "k2", "lo", "ns", "seg"])
+
+    for batch in batches:
+        n, k1, k2, lo = (batch.column(c).to_pylist() for c in ("n", "k1", "k2", "lo"))
+        for i, piece in enumerate(text_bytes(batch.column("seg"))):
+            for own, c, d, at, count in segments(piece, width, gram):
+                cut = [None] * len(own) if gram == width else [piece[x : x + y + width - 1] for x, y in zip(at.tolist(), count.tolist(), strict=True)]
+                held.append((own, c, d, *(np.full(len(own), v, np.int64) for v in (n[i], k1[i], k2[i])), at + lo[i], count, cut))
+                size += sum(map(len, cut)) if gram < width else 64 * len(own)
+            if size > 1 << 22:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
 
 
-def cut_texts(batches: Iterator[pa.RecordBatch], id_col: str, text: str, others: list[str]) -> Iterator[pa.RecordBatch]:
+def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Apply the marks: counts and digest of what is left, and the text less its wholly covered code points."""
     for batch in batches:
         out: list[tuple] = []
-        for raw, was, marks in zip(text_bytes(batch.column(text)), batch.column(text).is_valid().to_pylist(), batch.column("__marks").to_pylist(), strict=True):
+        for raw, was, marks in zip(text_bytes(batch.column("__text")), batch.column("__text").is_valid().to_pylist(), batch.column("__marks").to_pylist(), strict=True):
             if not marks:
                 out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw.decode() if was else None))
                 continue
@@ -290,44 +356,95 @@ def cut_texts(batches: Iterator[pa.RecordBatch], id_col: str, text: str, others:
             stays = np.repeat(~whole, np.diff(np.append(begins, len(data))))
             out.append((len(raw), int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(data[~gone].tobytes()).hexdigest(), data[stays].tobytes().decode()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        arrays = [batch.column(c) for c in (id_col, *others)] + [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *others, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("__row"), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds))], names=["__row", *ADDED])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None, width: int = 200, hot: int = 4_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None, width: int = 200, hot: int = 1_000) -> DataFrame:
     """Remove every byte covered by a string of width bytes that also starts anywhere else in the corpus.
 
     Returns id_col, the columns named in others, n_bytes, n_removed, n_spans, kept_sha256 (of the exact remaining bytes)
-    and kept_text (less the code points that are covered wholly; null stays null). width must be at least GRAM.
+    and kept_text (less the code points that are covered wholly; null stays null). Others named like an added column are
+    replaced by it. width must be at least GRAM.
     """
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
-    small_batches(docs.sparkSession)
-    others = others or []
-    keyed = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__k1"), F.coalesce(F.hash(F.col(id_col)).cast("long"), F.lit(0)).alias("__k2"), *dict.fromkeys([id_col, text_col, *others]))
+    spark = docs.sparkSession
+    small_batches(spark)
+    carried = [c for c in dict.fromkeys([id_col, *(others or [])]) if c not in ADDED]
     # Keys that tell texts apart; marks depend on the text alone, so documents that share both keys share their marks.
-    source = keyed.select("__k1", "__k2", text_col).where(F.octet_length(text_col) >= width)
-    stats = source.mapInArrow(lambda b: scan(b, width, True), STATS)
-    counted = stats.repartition("h").groupBy("h", "c").agg(F.sum("n").alias("n"), *(F.first(x).alias(x) for x in ("k1", "k2", "lo", "ns")))
-    shared = counted.withColumn("nd", F.count("*").over(Window.partitionBy("h"))).where("n > 1 or nd > 1")
-    shared = materialise(shared, "repeats")
-
-    texts = keyed.repartition("__k1", "__k2")
-
-    def wanted(which: str, windows: bool, schema: str) -> DataFrame:
-        want = shared.where(which).groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "n", "k1", "k2", "lo", "ns")).alias("__want"))
-        near = texts.join(want.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}).hint("shuffle_hash"), ["__k1", "__k2"])
-        # One row of equal texts is enough, and each brings the same; repeats are dropped by (segment) below.
-        return near.mapInArrow(lambda b: extract(b, text_col, width, windows), schema)
-
-    found = wanted(f"nd > 1 and nd <= {hot}", False, SEGMENTS).repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: index_marks(b, width), MARKS)
-    strings = wanted(f"nd > {hot}", True, WINDOWS)
-    often = strings.groupBy("h", "w1", "w2").agg(F.sum("n").alias("all")).where("all > 1")
-    hot_marks = strings.where("n = 1").join(often, ["h", "w1", "w2"]).select("k1", "k2", "lo", (F.col("lo") + width).alias("hi"))
-    rows = source.mapInArrow(lambda b: scan(b, width, False), ROWS)
-    whole = rows.join(shared.where("n > 1").select("h", "c"), ["h", "c"]).select("k1", "k2", "lo", (F.col("lo") + F.col("ns") + width - 1).alias("hi"))
-    marks = found.unionByName(hot_marks).unionByName(whole).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("lo", "hi")).alias("__marks"))
-    final = texts.join(marks.hint("shuffle_hash"), ["__k1", "__k2"], "left")
-    kinds = {f.name: f.dataType for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c].simpleString()}" for c in (id_col, *others)] + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"])
-    return final.mapInArrow(lambda b: cut_texts(b, id_col, text_col, others), schema)
+    text = F.col(text_col)
+    keyed = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("__k1"), F.coalesce(F.hash(F.col(id_col)).cast("long"), F.lit(0)).alias("__k2"), text.alias("__text"), F.struct(*carried).alias("__row"))
+    source = keyed.where(F.octet_length("__text") >= width).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__text").alias("text"))
+
+    # Rows of one text and id are dealt to several tasks if they are many; each of these gets their marks.
+    many = materialise(keyed.groupBy("__k1", "__k2").agg(F.count("*").alias("__rows")).where(F.col("__rows") > COPIES).select("__k1", "__k2", F.least(F.lit(4096), F.ceil(F.col("__rows") / COPIES)).cast("int").alias("__parts")), "copies")
+    copied = not many.isEmpty()
+    if copied:
+        spread = keyed.join(bounded(many, 500_000), ["__k1", "__k2"], "left")
+        spread = spread.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(F.spark_partition_id()), F.col("__parts")), F.lit(0)).cast("int"))
+    else:
+        spread = keyed
+    on = ["__k1", "__k2", "__part"] if copied else ["__k1", "__k2"]  # a constant part would be taken out of the join, not out of the exchange
+    texts = spread.repartition(*on)
+
+    def to_parts(rows: DataFrame) -> DataFrame:
+        """rows for every task that has their text."""
+        if not copied:
+            return rows
+        parts = F.coalesce("__parts", F.lit(1))
+        return rows.join(bounded(many, 500_000), ["__k1", "__k2"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+
+    def taken(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+        """The bytes of segments from the texts. A text's own segments bound each list."""
+        want = rows.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("h", "n", "k1", "k2", "lo", "ns")).alias("__want"))
+        near = dealt.join(to_parts(want).hint("shuffle_hash"), on)
+        # All columns go along: with fewer, the texts' exchange would not be the one that the result uses.
+        return near.mapInArrow(lambda b: extract(b, width), SEGMENTS)
+
+    def indexed(rows: DataFrame) -> DataFrame:
+        return rows.repartition("h").sortWithinPartitions("h", "k1", "k2", "lo").mapInArrow(lambda b: index_marks(b, width), MARKS)
+
+    def whole(level: DataFrame, counted: DataFrame) -> DataFrame:
+        """The segments that occur more than once, with all of their bytes."""
+        met = level.where("n = 1").join(counted.where("n > 1").select("h", "c", "d"), ["h", "c", "d"])
+        return met.select("k1", "k2", "lo", (F.col("lo") + F.col("ns") + width - 1).alias("hi"))
+
+    def counts(level: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+        """Different segments with their numbers and one place, and the grams with several of them."""
+        counted = level.groupBy("h", "c", "d").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "lo", "ns")).alias("one"), *more)
+        counted = materialise(counted.select("h", "c", "d", "n", "one.*", *(["seg"] if more else [])), "contents")
+        return counted, materialise(counted.groupBy("h").agg(F.count("*").alias("nd")).where("nd > 1"), "several")
+
+    grams = source.select("text").mapInArrow(lambda b: count_grams(b, width), GRAMS).groupBy("h").agg(F.sum("n").alias("n"))
+    grams = materialise(grams.where("n > 1").select("h"), "grams")
+    level = materialise(source.mapInArrow(lambda b: list_segments(b, width), ROWS).join(grams, "h"), "segments")
+    counted, several = counts(level)
+    rows = counted.join(several, "h")
+    marks = [whole(level, counted), indexed(taken(rows.where(F.col("nd") <= hot), texts))]
+    crowded = rows.where(F.col("nd") > hot)
+    if not crowded.isEmpty():
+        # Only the texts that hold such grams move once more; what follows works on the bytes of their segments alone.
+        keys = crowded.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+        some = spread.join(bounded(keys, 500_000), ["__k1", "__k2"], "left_semi").repartition(*on)
+        crowded = materialise(taken(crowded, some).dropDuplicates(["h", "k1", "k2", "lo"]), "crowded")
+        for gram in levels(width)[1:]:
+            level = crowded.mapInArrow(lambda b, gram=gram: refile(b, width, gram), REFILED)
+            level = materialise(level if gram < width else level.drop("seg"), "refiled")
+            counted, several = counts(level, *([F.any_value("seg").alias("seg")] if gram < width else []))
+            marks.append(whole(level, counted))
+            if gram == width:  # whole strings: their number says all
+                break
+            rows = counted.join(several, "h").select("h", "n", "k1", "k2", "lo", "ns", "seg", "nd")
+            marks.append(indexed(rows.where(F.col("nd") <= hot).drop("nd")))
+            crowded = rows.where(F.col("nd") > hot).drop("nd")
+            if crowded.isEmpty():
+                break
+    every = marks[0]
+    for more in marks[1:]:
+        every = every.unionByName(more)
+    # Rows of one text and id bring the same marks; each start counts once, with its furthest end.
+    every = every.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "lo").agg(F.max("hi").alias("hi"))
+    every = to_parts(every.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("lo", "hi")).alias("__marks")))
+    final = texts.join(every.hint("shuffle_hash"), on, "left")
+    schema = f"__row {keyed.schema['__row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    return final.select("__row", "__text", "__marks").mapInArrow(cut_texts, schema).select("__row.*", *ADDED)

@@ -5,12 +5,14 @@
    divided.
 2. The distinct words of all blocks meet by hash. There each distinct word is encoded once, whatever the number of blocks
    that hold it, and its ids go back to the blocks under the words' numbers.
-3. Each block joins the ids to its word positions. Decoding joins every id with the table of pieces, which is as large as
-   the tokenizer's vocabulary, and strings the pieces' bytes together.
+3. Each block joins the ids to its word positions. For decoding it joins the ids of its distinct words with the table of
+   pieces (id, piece), which is as large as the tokenizer's vocabulary, and strings the pieces' bytes together.
 
 Words travel in compressed packs, one for each block and hash class, so a frequent word costs a block one entry, and no
-class grows with a word's frequency. A null text counts as empty; empty texts have no tokens. Rows may repeat, and columns
-other than those named are not looked at.
+class grows with a word's frequency. There are as many classes as it takes for one to hold `CLASS_BYTES` of words if no word
+came twice, so what a task remembers of a class is bounded. A null text counts as empty; empty texts have no tokens. Rows
+may repeat, and columns other than those named are not looked at. A text of any length is one piece of work and must fit in
+a worker's memory some times over.
 """
 
 from __future__ import annotations
@@ -23,33 +25,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafseason.llm.common import batches_by_bytes, once, ship, small_batches
+from leafseason.llm.common import batches_by_bytes, once, ship, small_batches, tasks_for, total_bytes
 
 ship(__name__)
 
+#: Fixed value: the tokenizers' own pattern of words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CLASS_BYTES = 32 << 20
 PACKS = "target long, kind int, block string, class int, body binary"
 
 
 def _tokenizer(path: str):
-    """The library's tokenizer, its special strings, and the bytes of each id's piece."""
+    """The library's tokenizer, its special strings, and the table of pieces (id, piece)."""
 
     def load():
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a vocabulary
+        # The bytes that stand for themselves in a vocabulary; the others follow from code point 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         special = {x["content"]: x["id"] for x in said["added_tokens"]}
         pieces = {i: bytes(byte_of[c] for c in p) for p, i in said["model"]["vocab"].items()} | {i: s.encode() for s, i in special.items()}
-        return Tokenizer.from_file(path), special, [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        return Tokenizer.from_file(path), special, pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())})
 
     return once(("tokenizer", path), load)
 
@@ -81,30 +87,42 @@ def _from_bytes(data: bytes | memoryview, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-#: Ranks below DIRECT take one byte of a block's flow, others a byte and two more; BLOCK_WORDS ranks can be written.
+def _id_width(pieces: pa.Table) -> int:
+    return 2 if pa.compute.max(pieces["id"]).as_py() < 65536 else 4
+
+
+#: Ranks below DIRECT take one byte of a block's flow, others a byte and two more, as far as BLOCK_WORDS; with more words all take four.
 DIRECT = 192
 BLOCK_WORDS = DIRECT + (256 - DIRECT) * 65536
 
 
 def _write_flow(head: bytes, rank: np.ndarray, places: np.ndarray) -> bytes:
     """A block's header, the rank of each distinct word in class order, and the ranks of its words by position."""
-    far = rank >= DIRECT
-    rest = rank[far] - np.uint32(DIRECT)
-    first = rank.astype(np.uint8)
-    first[far] = DIRECT + (rest >> np.uint32(16))
-    sizes = struct.pack("<qqq", len(head), len(places), len(rank))
-    return zstandard.compress(sizes + head + _by_byte(places, 4) + first.tobytes() + _by_byte(rest & np.uint32(65535), 2), 3)
+    wide = len(places) > BLOCK_WORDS
+    sizes = struct.pack("<qqqq", len(head), len(places), len(rank), wide)
+    if wide:
+        flow = _by_byte(rank, 4)
+    else:
+        far = rank >= DIRECT
+        rest = rank[far] - np.uint32(DIRECT)
+        first = rank.astype(np.uint8)
+        first[far] = DIRECT + (rest >> np.uint32(16))
+        flow = first.tobytes() + _by_byte(rest & np.uint32(65535), 2)
+    return zstandard.compress(sizes + head + _by_byte(places, 4) + flow, 3)
 
 
 def _read_flow(body: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     data = memoryview(zstandard.decompress(body))
-    a, b, c = struct.unpack_from("<qqq", data)
-    a, b = 24 + a, 24 + a + 4 * b
+    a, b, c, wide = struct.unpack_from("<qqqq", data)
+    a, b = 32 + a, 32 + a + 4 * b
+    head, places = bytes(data[32:a]), _from_bytes(data[a:b], 4)
+    if wide:
+        return head, places, _from_bytes(data[b:], 4)
     first = np.frombuffer(data[b : b + c], np.uint8)
     rank = first.astype(np.uint32)
     far = first >= DIRECT
     rank[far] = ((rank[far] - np.uint32(DIRECT)) << np.uint32(16)) + _from_bytes(data[b + c :], 2) + np.uint32(DIRECT)
-    return bytes(data[24:a]), _from_bytes(data[a:b], 4), rank
+    return head, places, rank
 
 
 def split_blocks(batches: Iterator[pa.RecordBatch], path: str, classes: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -162,10 +180,17 @@ def split_blocks(batches: Iterator[pa.RecordBatch], path: str, classes: int, blo
 def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Encode each distinct word of a class once; rows come sorted by class. Blocks pass through."""
     tokenizer, _, pieces = _tokenizer(path)
-    width = 2 if len(pieces) <= 65536 else 4
+    width = _id_width(pieces)
     known: dict[bytes, bytes] = {}
     at = None
     names = ["target", "kind", "block", "class", "body"]
+    rows: list[tuple] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        kinds = pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     for batch in batches:
         for target, kind, block, cls, body in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if kind == 1:
@@ -179,16 +204,22 @@ def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
                     piece = fresh[k : k + 4096]
                     for w, e in zip(piece, tokenizer.encode_batch_fast([w.decode() for w in piece], add_special_tokens=False), strict=True):
                         known[w] = np.array(e.ids, f"<u{width}").tobytes()
-                out = [known[w] for w in own]
-                body = _pack(np.fromiter((len(x) // width for x in out), np.int64, len(out)), b"".join(out))
+                ids = [known[w] for w in own]
+                body = _pack(np.fromiter((len(x) // width for x in ids), np.int64, len(ids)), b"".join(ids))
                 target, kind = zlib.crc32(block.encode()), 2
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((target, kind, block, cls, body), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=names)
+            rows.append((target, kind, block, cls, body))
+            held += len(body)
+            if held > 4 << 20 or len(rows) >= 1000:
+                yield out()
+                rows, held = [], 0
+    if rows:
+        yield out()
 
 
 def join_positions(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Put ids back at the words' positions and decode them; rows come sorted by block, kind and class."""
     pieces = _tokenizer(path)[2]
-    width = 2 if len(pieces) <= 65536 else 4
+    width = _id_width(pieces)
 
     def finished(body: bytes, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
         head, order, flow = _read_flow(body)
@@ -203,12 +234,15 @@ def join_positions(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool)
             lengths.append(n)
             tokens.append(np.frombuffer(ids, f"<u{width}"))
         n = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        every = np.concatenate(tokens).tolist() if tokens else []
-        ends = np.cumsum(n).tolist()
+        # The ids of the distinct words, one after the other, joined with the table of pieces.
+        every = pa.table({"id": pa.array(np.concatenate(tokens) if tokens else np.zeros(0), pa.int32())})
+        every = every.append_column("place", pa.array(np.arange(every.num_rows)))
+        joined = every.join(pieces, "id", join_type="inner", use_threads=False).sort_by("place")
+        shown, parts = [f"{t}," for t in joined["id"].to_pylist()], joined["piece"].to_pylist()
         said, texts, a = [], [], 0
-        for b in ends:
-            said.append("".join([f"{t}," for t in every[a:b]]))
-            texts.append(b"".join([pieces[t] for t in every[a:b]]))
+        for b in np.cumsum(n).tolist():
+            said.append("".join(shown[a:b]))
+            texts.append(b"".join(parts[a:b]))
             a = b
         ends = np.cumsum(np.append(0, sizes)).tolist()
         rows = []
@@ -241,14 +275,14 @@ def join_positions(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool)
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, classes: int | None = None, block_bytes: int = 32 << 20) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, on demand, ids and decoded text of every row.
 
-    The tokenizer file must be readable on every executor. classes: number of hash classes of words, by default the
-    number of shuffle partitions.
+    The tokenizer file must be readable on every executor. classes: number of hash classes of words, by default one for each
+    CLASS_BYTES of text, and no fewer than the shuffle partitions.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    classes = classes or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    classes = classes or tasks_for(spark, total_bytes(docs, text_col), CLASS_BYTES)
     source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     packs = source.mapInArrow(lambda b: split_blocks(b, path, classes, block_bytes), PACKS)
-    encoded = packs.repartition("target").sortWithinPartitions("kind", "class").mapInArrow(lambda b: encode_words(b, path), PACKS)
+    encoded = packs.repartition(classes, "target").sortWithinPartitions("kind", "class").mapInArrow(lambda b: encode_words(b, path), PACKS)
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return encoded.repartition("block").sortWithinPartitions("block", "kind", "class").mapInArrow(lambda b: join_positions(b, path, with_ids), schema)
+    return encoded.repartition(classes, "block").sortWithinPartitions("block", "kind", "class").mapInArrow(lambda b: join_positions(b, path, with_ids), schema)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
-from leafseason.llm import bpe, chat, fingerprints, mixing, queries, simhash, suffix_dedup, token_counts, topk
+from leafseason.llm import bpe, chat, common, fingerprints, mixing, queries, simhash, suffix_dedup, token_counts, topk
 from pyspark.sql import functions as F
 
 CLASH = "doc_id long, text string, fp long, h long, key long, n long, tile long, component long, id long"
@@ -311,3 +311,177 @@ def test_preferences_equal_sql(spark):
     assert one.n_common == 1 and one.prompt == "<|user|>\nhi<|end|>\n" and one.chosen[slice(*map(int, one.chosen_spans.split("-")))] == "yes<|end|>\n"
     empty = df.limit(0)
     assert chat.preference_pairs(empty, chat.neighbour_pairs(empty)).isEmpty()
+
+
+def test_wide_repeats(spark):
+    rng = random.Random(14)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(9000))
+    texts = ["x" + passage, passage[:5200] + "y", passage[4100:] + "z" * 5001, "q" * 5002, None, "é" * 2600]
+    got = suffix_dedup.remove_repeats(docs(spark, texts), width=5000).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == list(repeats_by_hand(texts, 5000))
+    far = "".join(rng.choice("abcd") for _ in range(140_000))
+    both = suffix_dedup.remove_repeats(docs(spark, [far, "-" + far, far[1:]]), width=139_999).orderBy("doc_id").collect()
+    assert [r.n_removed for r in both] == [140_000, 140_000, 139_999]
+
+
+def test_repeats_of_many_equal_rows(spark):
+    """More rows of one text and id than one task gets, and rows without id; each row has its result."""
+    texts = sample_texts(2, 20)
+    rows = [(7, texts[3] + "a" * 250)] * 300 + [(None, texts[4] + "b" * 250)] * 150 + list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = Counter((r.doc_id, *tuple(r)[1:5]) for r in suffix_dedup.remove_repeats(df, hot=3).collect())
+    assert got == Counter((i, *r) for (i, _), r in zip(rows, repeats_by_hand([t for _, t in rows], 200), strict=True))
+    named = df.withColumns({"n_bytes": F.lit("old"), "__k1": F.lit(1), "__row": F.lit(2), "__text": F.lit(3)})
+    out = suffix_dedup.remove_repeats(named, others=["n_bytes", "__k1", "__row", "__text"])
+    assert out.columns[:4] == ["doc_id", "__k1", "__row", "__text"] and out.columns.count("n_bytes") == 1
+
+
+def test_crowded_grams_are_filed_anew(spark):
+    """One line in hundreds of contexts: more segments under its grams than a task may gather."""
+    rng = random.Random(15)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = word(60)
+    before, after = [word(100) for _ in range(6)], [word(100) for _ in range(6)]
+    texts = [word(rng.randint(0, 150)) + rng.choice(before) + line + rng.choice(after) + word(rng.randint(0, 150)) for _ in range(250)]
+    want = list(repeats_by_hand(texts, 200))
+    assert 0 < sum(r[1] for r in want)
+    for hot in (5, 40, 1000):
+        got = suffix_dedup.remove_repeats(docs(spark, texts), hot=hot).orderBy("doc_id").collect()
+        assert [tuple(r)[1:5] for r in got] == want
+
+
+@pytest.mark.parametrize("most", [4, 50])
+def test_cut_simhash_tiles_lose_no_link(spark, most):
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 2**63, 8, dtype=np.uint64)
+    flips = lambda: np.uint64(1) << rng.integers(0, 64, 8, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ flips() ^ flips() for _ in range(40)])).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    root = {int(x): int(x) for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in simhash.links(df, 2, 4, most).collect():
+        root[find(r.u)] = find(r.v)
+    label = np.arange(len(fps))
+    a, b = np.nonzero(np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None]) <= 2)
+    for _ in range(len(fps)):
+        np.minimum.at(label, a, label[b])
+    made, want = {}, {}
+    for i, x in enumerate(fps.tolist()):
+        made.setdefault(find(x), set()).add(x)
+        want.setdefault(label[i], set()).add(x)
+    assert sorted(map(sorted, made.values())) == sorted(map(sorted, want.values()))
+
+
+def test_own_tiles_are_named_alike(spark):
+    fps = [0, -1, 5, -(2**63), 2**63 - 1, 123456789123456789]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for parts in (4, 8, 16):
+        counts = simhash.tile_counts(np.array(fps).view(np.uint64), parts)
+        want = (counts * (64 // parts + 1) ** np.arange(parts)).sum(axis=1)
+        assert {r.fp: r.t for r in df.select("fp", simhash.home_tile(parts).alias("t")).collect()} == dict(zip(fps, want.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, bpe.BLOCK_WORDS, bpe.BLOCK_WORDS + 5])
+def test_flows_of_any_number_of_words(n):
+    rank = np.arange(n, dtype=np.uint32)
+    head, places, back = bpe._read_flow(bpe._write_flow(b"head", rank, rank[::-1].copy()))
+    assert head == b"head" and np.array_equal(back, rank) and np.array_equal(places, rank[::-1])
+
+
+def test_encoding_in_many_classes_and_blocks(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randint(0, 400)}é" for _ in range(60)) for _ in range(80)] + ["long " * 100_000, "q" * 50_000]
+    rows = {r.id: (r.n_tokens, r.decoded_sha256) for r in bpe.encode_decode(docs(spark, texts), path, classes=50, block_bytes=500).collect()}
+    assert rows == {i: (len(lib.encode(t, add_special_tokens=False).ids), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+
+
+def edits_by_hand(rows):
+    """rows in their order: id, characters and digest of each edited text."""
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        yield i, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("each", [200, 1 << 20])
+def test_fingerprints_of_crowded_ids(spark, monkeypatch, each):
+    monkeypatch.setattr(fingerprints, "SAME", 10)
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice(["ab", "cd", "é", "fg"]) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    rows = [(i % 40, t) for i, t in enumerate(texts)] + [(None, t) for t in texts] + [(9, "the same text " * 5)] * 35 + [(None, None)] * 25
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"place": F.lit("x"), "mark": F.lit(1), "copies": F.lit(2)}).repartition(5)
+    got = fingerprints.fingerprint_edits(df, each=each).collect()
+    hashed = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
+    crowded = {i for i, n in Counter(i for i, _ in rows).items() if n > 10}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]] if r[0] in crowded else 0, r[1]))
+    assert Counter((r.id, r.n_chars, r.edited_sha256) for r in got) == Counter(edits_by_hand(order))
+    assert {r.fingerprint for r in got if r.id == 9 and r.n_chars == 70} == {next(r.fingerprint for r in got if r.id == 9 and r.n_chars == 70)}
+
+
+def test_ranges_of_places():
+    bounds = fingerprints.bounds_of([5, 5, 5, 9])
+    assert bounds[0].tolist() == [5, 5, 5, 9]
+    place, mark = np.array([4, 5, 5, 5, 6, 9, 10]), np.array([0, -(2**63), 0, 2**63 - 1, 0, 0, 0])
+    assert fingerprints.range_of(place, mark, bounds).tolist() == [0, 1, 2, 3, 3, 4, 4]
+    assert fingerprints.range_of(place, mark, fingerprints.bounds_of([])).tolist() == [0] * 7
+
+
+def test_mixing_with_more_sources_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, "t" * (i % 50), "en", "big" if i % 3 else (f"s{i}" if i % 2 else None), 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"__source": F.lit(1), "__row": F.lit(2)})
+    plain = mixing.mix(df)
+    monkeypatch.setattr(mixing, "SMALL", 5)
+    many = mixing.mix(df)
+    assert many.columns == plain.columns and many.exceptAll(plain).isEmpty() and plain.exceptAll(many).isEmpty()
+    assert mixing.mix(df.limit(0)).isEmpty()
+
+
+def test_top_k_of_large_scores(spark):
+    rng = np.random.default_rng(19)
+    # Scores around 2**58, far beyond what a float can tell apart.
+    rows = [(i, [float(x) for x in rng.integers(2**20, 2**20 + 50, 16)]) for i in range(120)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect()
+    ints = {i: [int(256 * x) for x in v] for i, v in rows}
+    for q in range(0, 120, 10):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in best]
+
+
+def test_settings_and_scratch(spark, monkeypatch):
+    sizes = {"64mb": 64 << 20, "16777216b": 16 << 20, "1g": 1 << 30, "7": 7, "2k": 2048, "3TB": 3 << 40, "64m": 64 << 20}
+    assert {k: common.parse_size(k) for k in sizes} == sizes
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for said, after in (("64mb", f"{16 << 20}b"), ("1m", "1m"), ("2048b", "2048b")):
+        spark.conf.set(name, said)
+        common.small_batches(spark)
+        assert spark.conf.get(name) == after
+    spark.conf.unset(name)
+    df, path = common.write_table(spark.range(3), "kept")
+    assert df.count() == 3 and common.release(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|exist"):
+        spark.read.parquet(path).count()
+    asked = spark.conf.get("spark.checkpoint.dir")
+    assert common.shared_dir(spark) == asked
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})()
+        sparkContext = type("S", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Far())
+
+
+def test_long_conversations(spark):
+    turns = [(i, k, "assistant" if k % 2 else "user", "hi" if k < 400 else f"{i} {k}") for i in (0, 1) for k in range(500)] + [(2, 0, "user", "x" * 1_000_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"id": F.lit(1), "turns": F.lit(2), "chosen": F.lit(3), "n_common": F.lit(4), "pair_id": F.lit(5)})
+    got = {r.pair_id: r for r in chat.preference_pairs(df, chat.neighbour_pairs(df)).collect()}
+    assert got[0].n_common == 400 and got[0].prompt.count("<|end|>") == 400 and got[0].chosen_spans.count("-") == 50
+    assert got[1].chosen == "<|user|>\n" + "x" * 1_000_000 + "<|end|>\n" and got[1].rejected is None

@@ -7,7 +7,8 @@ of each bin are stored, packed, as lowercase hex. The likeness of two fingerprin
 for bins that agree by chance: (p - 2**-b) / (1 - 2**-b), cut to 0..1.
 
 A text without words has the fingerprint of zeros; it is like other such texts (1) and unlike all others (0). Null texts
-count as empty. Documents with equal ids follow each other by text; a null id comes last.
+count as empty. Documents with equal ids follow each other by text (many of them by a hash of it); a null id comes last. Rows
+may repeat, empty tables give empty results, other columns are not looked at; a text must fit in a worker's memory.
 """
 
 from __future__ import annotations
@@ -16,17 +17,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafseason.llm.common import batches_by_bytes, once, ship, small_batches
+from leafseason.llm.common import batches_by_bytes, bounded, materialise, once, ship, small_batches, tasks_for, total_bytes
 
 ship(__name__)
 
 BINS, BITS, SHINGLE = 512, 4, 5
 OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+WALKED = OUT + ", copies long"
+RANGE = 128 << 20  # bytes of text in a range of ids
+RANGES = 50_000
+SAME = 1_000  # rows with one id, beyond which they are told apart by their texts
 ZEROS = "0" * (BINS * BITS // 4)
 
 
@@ -112,21 +118,30 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted; each is compared with the one after it. A guest row ends its group and is not returned."""
+    """Rows come sorted; each is compared with the one after it. A guest row ends its group and is not returned.
+
+    A row that stands for several copies is followed by itself as often as it has copies but one.
+    """
     before = None
-    names = [x.split()[0] for x in OUT.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+    names = [x.split()[0] for x in WALKED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int64()]
     rows: list[tuple] = []
+
+    def compared(old: tuple, text: str, value: np.ndarray | None, copies: int) -> tuple:
+        i, own, own_value = old
+        k = len(own) // 3
+        edited = own[: len(own) - k] + text[:k]
+        changed = low_bits(shingle_hashes(edited))
+        return i, len(own), hashlib.sha256(edited.encode()).hexdigest(), packed(own_value), packed(changed), likeness(own_value, changed), likeness(own_value, value), copies
+
     for batch in batches_by_bytes(batches, "text", 4 << 20):
-        for i, guest, text in zip(batch.column("id").to_pylist(), batch.column("guest").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for i, guest, text, copies in zip(*(batch.column(c).to_pylist() for c in ("id", "guest", "text", "copies")), strict=True):
             value = low_bits(shingle_hashes(text))
             if before is not None:
-                old_id, old, own = before
-                k = len(old) // 3
-                edited = old[: len(old) - k] + text[:k]
-                changed = low_bits(shingle_hashes(edited))
-                rows.append((old_id, len(old), hashlib.sha256(edited.encode()).hexdigest(), packed(own), packed(changed), likeness(own, changed), likeness(own, value)))
+                rows.append(compared(before, text, value, 1))
             before = None if guest else (i, text, value)
+            if before is not None and copies > 1:
+                rows.append(compared(before, text, value, copies - 1))
             if len(rows) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
@@ -134,37 +149,76 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _range_of(value: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the value, found in two steps of about sqrt(len(bounds)) comparisons."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    rows = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    heads = F.array(*(F.lit(r[0]) for r in rows))
-    below = F.size(F.filter(heads, lambda b: b <= value))
-    inner = F.array(*(F.array(*map(F.lit, r)) for r in rows))
-    return F.when(below == 0, 0).otherwise((below - 1) * step + F.size(F.filter(F.element_at(inner, F.greatest(below, F.lit(1))), lambda b: b <= value)))
+def bounds_of(cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of (place, hash) begin: at each cut, and where one place takes several cuts also at even steps of its hashes."""
+    places, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    place = np.repeat(places, times)
+    step = np.concatenate([np.arange(n) for n in times]) if len(times) else np.zeros(0, np.int64)
+    share = [-(2**63) + int(k) * 2**64 // int(n) for k, n in zip(step, np.repeat(times, times), strict=True)]
+    return place, np.array(share, np.int64)
+
+
+def range_of(place: np.ndarray, mark: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many ranges begin at or before each (place, hash)."""
+    first, last = (np.searchsorted(bounds[0], place, side) for side in ("left", "right"))
+    out = last.copy()
+    for p in np.unique(place[last - first > 1]):  # places with several ranges
+        own = place == p
+        a, b = np.searchsorted(bounds[0], p, "left"), np.searchsorted(bounds[0], p, "right")
+        out[own] = a + np.searchsorted(bounds[1][a:b], mark[own], "right")
+    return out.astype(np.int32)
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: int = RANGE) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last third is replaced from the next document.
 
     The next document is the one with the next smaller id, after the last the first. The texts move once: ids are cut into
-    ranges, one for each shuffle partition, and each range gets the first document of the following range as a guest.
+    ranges of about `each` bytes (no fewer than the shuffle partitions, no more than RANGES), and each range gets the first
+    document of the following range as a guest. Rows that share an id beyond SAME are also cut by a hash of their texts, in
+    whose order they then follow each other; equal ones among them move once, with their number.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63) + 1))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), rank.alias("rank"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = source.agg(F.percentile_approx("rank", [k / n for k in range(1, n)] or [0.5], F.lit(20 * n + 1000))).first()[0]
-    ranged = source.withColumn("part", _range_of(F.col("rank"), sorted(set(cuts or []))))
-    firsts = {r[0]: r[1] for r in ranged.groupBy("part").agg(F.max("rank")).collect()}  # one row a partition
-    parts = sorted(firsts, reverse=True)
-    guests = spark.createDataFrame([(firsts[b], a) for a, b in zip(parts, [*parts[1:], *parts[:1]])], "rank long, part int") if parts else None  # noqa: B905
-    rows = ranged.select("id", "rank", "text", "part", F.lit(False).alias("guest"))
-    if guests is not None:
-        found = source.join(F.broadcast(guests), "rank").groupBy("rank", "part").agg(F.min("text").alias("text"))
-        rows = rows.unionByName(found.select(F.lit(None).cast("long").alias("id"), "rank", "text", "part", F.lit(True).alias("guest")))
-    dealt = rows.repartition("part").sortWithinPartitions("part", "guest", F.desc("rank"), "text")
-    return dealt.select("id", "guest", "text").mapInArrow(_walk, OUT)
+    # Descending ids; null comes last.
+    place = -F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63) + 1))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), place.alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shared = materialise(plain.groupBy("place").agg(F.count("*").alias("rows")).where(F.col("rows") > SAME).select("place"), "shared")
+    crowded = not shared.isEmpty()
+    if crowded:
+        hot = bounded(shared, 500_000)
+        alone = plain.join(hot, "place", "left_anti").select("id", "place", F.lit(0).cast("long").alias("mark"), "text", F.lit(1).cast("long").alias("copies"))
+        some = plain.join(hot, "place", "left_semi").withColumn("mark", F.xxhash64("text"))
+        counts = some.groupBy("id", "place", "mark").agg(F.count("*").alias("copies"), F.min("text").alias("least"), F.max("text").alias("most"))
+        # Two texts with one hash stay rows of their own.
+        equal = counts.where("least = most").select("id", "place", "mark", F.col("least").alias("text"), "copies")
+        unlike = some.join(counts.where("least != most").select("place", "mark"), ["place", "mark"], "left_semi").select("id", "place", "mark", "text", F.lit(1).cast("long").alias("copies"))
+        source = alone.unionByName(materialise(equal, "equal")).unionByName(unlike)
+    else:
+        source = plain.select("id", "place", F.lit(0).cast("long").alias("mark"), "text", F.lit(1).cast("long").alias("copies"))
+    n = min(RANGES, tasks_for(spark, total_bytes(docs, text_col), each))
+    cuts = source.agg(F.percentile_approx("place", [k / n for k in range(1, n)] or [0.5], F.lit(20 * n + 1000))).first()[0]
+    bounds = bounds_of(list(cuts or []))
+    held = spark.sparkContext.broadcast(bounds)  # at most RANGES rows
+
+    def part_of(place: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series(range_of(place.to_numpy(), mark.to_numpy(), held.value))
+
+    part_of.__annotations__ = {"place": pd.Series, "mark": pd.Series, "return": pd.Series}
+    part = F.pandas_udf(part_of, "int")
+    ranged = source.withColumn("part", part("place", "mark"))
+    firsts = {r[0]: tuple(r[1]) for r in ranged.groupBy("part").agg(F.min(F.struct("place", "mark"))).collect()}  # one row a range
+    parts = sorted(firsts)
+    rows = ranged.select("id", "place", "mark", "text", "part", F.lit(False).alias("guest"), "copies")
+    if parts:
+        guests = spark.createDataFrame([(*firsts[b], a) for a, b in zip(parts, [*parts[1:], *parts[:1]])], "place long, mark long, part int")  # noqa: B905
+        found = source.join(F.broadcast(guests), ["place", "mark"]).groupBy("place", "mark", "part").agg(F.min("text").alias("text"))
+        rows = rows.unionByName(found.select(F.lit(None).cast("long").alias("id"), "place", "mark", "text", "part", F.lit(True).alias("guest"), F.lit(1).cast("long").alias("copies")))
+    dealt = rows.repartitionById(len(bounds[0]) + 1, F.col("part")).sortWithinPartitions("part", "guest", "place", "mark", "text")
+    walked = dealt.select("id", "guest", "text", "copies").mapInArrow(_walk, WALKED)
+    if not crowded:
+        return walked.drop("copies")
+    made = materialise(walked, "walked")
+    chunk = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / SAME))
+    spread = made.where("copies > 1").withColumn("__k", F.explode(chunk)).repartition(tasks_for(spark, 0, 1))
+    spread = spread.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(SAME).cast("long"), F.col("copies") - F.col("__k") * SAME))))
+    return made.where("copies = 1").drop("copies").unionByName(spread.drop("copies", "__k", "__n"))

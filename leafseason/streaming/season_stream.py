@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from leafseason.workers import ship
 
 ship(__name__)
 
+#: Rows of a key that leave running_by_state at once.
+FRAME_ROWS = 100_000
+
 
 def season_stream(
     obs: DataFrame,
@@ -75,19 +79,22 @@ def first_seen(stream: DataFrame, *key: str) -> DataFrame:
 def running_by_state(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Running bounds kept in the state store, one state a key: rows of a key leave with the bounds up to themselves.
 
-    For bounds that need not be queried between batches; season_stream keeps them in a table instead.
+    For bounds that need not be queried between batches; season_stream keeps them in a table instead. A key's rows of one
+    batch come in several frames that are in no order among each other; they are held together and sorted as one.
     """
 
     def fold(k, frames, held):
-        low, high = held.get if held.exists else (None, None)
-        for frame in frames:
-            frame = frame.sort_values(order)
-            seen = frame[value].where(frame[value].abs() != float("inf"))
-            lows = pd.concat([pd.Series([low], dtype="float64"), seen]).cummin().ffill().iloc[1:]
-            highs = pd.concat([pd.Series([high], dtype="float64"), seen]).cummax().ffill().iloc[1:]
-            low, high = (None if pd.isna(x.iloc[-1]) else float(x.iloc[-1]) for x in (lows, highs))
-            yield pd.DataFrame({key: k[0], order: frame[order].to_numpy(), "v_min": lows.to_numpy(), "v_max": highs.to_numpy()})
-        held.update((low, high))
+        low, high = (np.nan if x is None else x for x in (held.get if held.exists else (None, None)))
+        frames = list(frames)
+        frame = (pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]).sort_values(order, kind="stable")
+        frames.clear()
+        seen = frame[value].to_numpy("float64", na_value=np.nan)
+        seen = np.where(np.isinf(seen), np.nan, seen)
+        lows, highs = np.fmin.accumulate(np.append(low, seen))[1:], np.fmax.accumulate(np.append(high, seen))[1:]
+        held.update(tuple(None if np.isnan(x[-1]) else float(x[-1]) for x in (lows, highs)))
+        for a in range(0, len(frame), FRAME_ROWS):
+            own = slice(a, a + FRAME_ROWS)
+            yield pd.DataFrame({key: k[0], order: frame[order].iloc[own].to_numpy(), "v_min": lows[own], "v_max": highs[own]})
 
     kinds = dict(stream.dtypes)
     out = f"{key} {kinds[key]}, {order} {kinds[order]}, v_min double, v_max double"

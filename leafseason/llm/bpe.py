@@ -39,6 +39,8 @@ ship(__name__)
 #: Fixed value: the tokenizers' own pattern of words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CLASS_BYTES = 32 << 20
+#: Distinct words that are joined with the table of pieces at once.
+JOIN_WORDS = 32768
 PACKS = "target long, kind int, block string, class int, body binary"
 
 
@@ -148,6 +150,7 @@ def split_blocks(batches: Iterator[pa.RecordBatch], path: str, classes: int, blo
         order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
         order = order[np.argsort(cls[order], kind="stable")]
         flow = np.concatenate(places)
+        places.clear()
         rank = np.empty(len(texts), np.uint32)
         rank[np.argsort(-np.bincount(flow, minlength=len(texts)), kind="stable")] = np.arange(len(texts), dtype=np.uint32)
         body = _write_flow(json.dumps([ids, sizes]).encode(), rank[flow], rank[order])
@@ -224,8 +227,8 @@ def join_positions(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool)
     def finished(body: bytes, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
         head, order, flow = _read_flow(body)
         doc_ids, sizes = json.loads(head)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
         flow = place[flow]
         lengths: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
@@ -234,16 +237,19 @@ def join_positions(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool)
             lengths.append(n)
             tokens.append(np.frombuffer(ids, f"<u{width}"))
         n = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        # The ids of the distinct words, one after the other, joined with the table of pieces.
-        every = pa.table({"id": pa.array(np.concatenate(tokens) if tokens else np.zeros(0), pa.int32())})
-        every = every.append_column("place", pa.array(np.arange(every.num_rows)))
-        joined = every.join(pieces, "id", join_type="inner", use_threads=False).sort_by("place")
-        shown, parts = [f"{t}," for t in joined["id"].to_pylist()], joined["piece"].to_pylist()
-        said, texts, a = [], [], 0
-        for b in np.cumsum(n).tolist():
-            said.append("".join(shown[a:b]))
-            texts.append(b"".join(parts[a:b]))
-            a = b
+        ids = np.concatenate(tokens) if tokens else np.zeros(0, f"<u{width}")
+        said, texts, edges = [], [], np.cumsum(np.append(0, n))
+        for k in range(0, len(n), JOIN_WORDS):
+            own = edges[k : k + JOIN_WORDS + 1]
+            # The ids of some distinct words, one after the other, joined with the table of pieces.
+            every = pa.table({"id": pa.array(ids[own[0] : own[-1]], pa.int32())})
+            every = every.append_column("place", pa.array(np.arange(every.num_rows)))
+            joined = every.join(pieces, "id", join_type="inner", use_threads=False).sort_by("place")
+            shown, parts, a = [f"{t}," for t in joined["id"].to_pylist()], joined["piece"].to_pylist(), 0
+            for b in (own[1:] - own[0]).tolist():
+                said.append("".join(shown[a:b]))
+                texts.append(b"".join(parts[a:b]))
+                a = b
         ends = np.cumsum(np.append(0, sizes)).tolist()
         rows = []
         for i, a, b in zip(doc_ids, ends, ends[1:]):  # noqa: B905

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafseason.llm.common import batches_by_bytes, once, ship, small_batches, tasks_for, total_bytes
+from leafseason.llm.common import batches_by_bytes, lean, once, ship, small_batches, tasks_for, total_bytes
 
 ship(__name__)
 
@@ -288,7 +288,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     small_batches(spark)
     classes = classes or tasks_for(spark, total_bytes(docs, text_col), CLASS_BYTES)
     source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    packs = source.mapInArrow(lambda b: split_blocks(b, path, classes, block_bytes), PACKS)
-    encoded = packs.repartition(classes, "target").sortWithinPartitions("kind", "class").mapInArrow(lambda b: encode_words(b, path), PACKS)
+    packs = source.mapInArrow(lean(lambda b: split_blocks(b, path, classes, block_bytes)), PACKS)
+    encoded = packs.repartition(classes, "target").sortWithinPartitions("kind", "class").mapInArrow(lean(lambda b: encode_words(b, path)), PACKS)
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return encoded.repartition(classes, "block").sortWithinPartitions("block", "kind", "class").mapInArrow(lambda b: join_positions(b, path, with_ids), schema)
+    return encoded.repartition(classes, "block").sortWithinPartitions("block", "kind", "class").mapInArrow(lean(lambda b: join_positions(b, path, with_ids)), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from leafseason.sources.scratch import delete, materialise, release, shared_dir, write_table
 from leafseason.workers import ship
 
-__all__ = ["batches_by_bytes", "bounded", "delete", "held_out", "materialise", "once", "parse_size", "release", "shared_dir", "ship", "small_batches", "tasks_for", "text_bytes", "total_bytes", "write_table"]
+__all__ = ["batches_by_bytes", "bounded", "delete", "hand_back", "held_out", "lean", "materialise", "once", "parse_size", "release", "shared_dir", "ship", "small_batches", "tasks_for", "text_bytes", "total_bytes", "write_table"]
 
 def once(key: tuple, make: Callable[[], Any]) -> Any:
     """make(), kept for the life of a worker process; works for functions sent by value too."""
@@ -24,6 +25,39 @@ def once(key: tuple, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def hand_back() -> None:
+    """Return memory that this process's allocators hold free to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(once(("libc",), lambda: ctypes.CDLL(None)), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], each: int = 16 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, handing free memory back after each `each` bytes of batches and at the end.
+
+    Spark uses its Python workers again, so what one stage leaves in a worker's allocators would count in all later ones.
+    """
+
+    def handing_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
+            held = 0
+            for batch in batches:
+                held += batch.nbytes
+                yield batch
+                del batch
+                if held >= each:
+                    hand_back()
+                    held = 0
+
+        try:
+            yield from run(counted())
+        finally:
+            hand_back()
+
+    return handing_back
+
+
 def parse_size(text: str) -> int:
     """Bytes in a size as Spark writes it: a number and b, k, kb, m, mb, g, gb, t, tb, p or pb; bytes without a unit."""
     number = text.strip().lower().rstrip("bkmgtp")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafseason.llm.common import materialise, ship, small_batches, text_bytes
+from leafseason.llm.common import lean, materialise, ship, small_batches, text_bytes
 from leafseason.llm.components import connected_components
 
 ship(__name__)
@@ -68,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = 3) -> DataFrame:
     """(fp, id, key): key is a hash of the text, which tells rows with the same id apart."""
     source = docs.select(F.col(text_col), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    return source.mapInArrow(lambda b: _fingerprints(b, size), "fp long, id long, key long")
+    return source.mapInArrow(lean(lambda b: _fingerprints(b, size)), "fp long, id long, key long")
 
 
 def tile_counts(fps: np.ndarray, parts: int) -> np.ndarray:
@@ -198,7 +198,7 @@ def links(distinct: DataFrame, radius: int = 2, parts: int = 4, most: int = TILE
     A tile with more than `most` fingerprints of its own is cut into chunks, each of which meets its tile's other chunks and
     all of its visitors, so no task holds more than `most` of them.
     """
-    dealt = distinct.select("fp").mapInArrow(lambda b: _deal(b, parts, radius), "tile long, fp long, visitor boolean")
+    dealt = distinct.select("fp").mapInArrow(lean(lambda b: _deal(b, parts, radius)), "tile long, fp long, visitor boolean")
     large = distinct.groupBy(home_tile(parts).alias("tile")).agg(F.ceil(F.count("*") / most).cast("long").alias("chunks")).where("chunks > 1")
     if large.isEmpty():
         cut = dealt.withColumn("chunk", F.lit(0).cast("long"))
@@ -207,7 +207,7 @@ def links(distinct: DataFrame, radius: int = 2, parts: int = 4, most: int = TILE
         sized = dealt.join(large, "tile", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1).cast("long"))))
         last = F.when(F.col("visitor"), F.coalesce("chunks", F.lit(1).cast("long")) - 1).otherwise(F.col("own"))
         cut = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).select("tile", "fp", (F.col("visitor") | (F.col("chunk") < F.col("own"))).alias("visitor"), "chunk")
-    return cut.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "visitor").mapInArrow(lambda b: _tiles(b, radius), "u long, v long")
+    return cut.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "visitor").mapInArrow(lean(lambda b: _tiles(b, radius)), "u long, v long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, parts: int | None = None) -> DataFrame:
@@ -422,7 +422,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     radius = int(128 * (share + 7 * (share * (1 - share) / 128) ** 0.5))
     small_batches(spark)
     source = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    made = source.mapInArrow(lambda b: _wide(b, size), "fp long, w0 long, w1 long, n long, least_hashes array<long>, id long, key long")
+    made = source.mapInArrow(lean(lambda b: _wide(b, size)), "fp long, w0 long, w1 long, n long, least_hashes array<long>, id long, key long")
     made = materialise(made, "fingerprints")
     nodes = materialise(made.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     pick = F.xxhash64("key", "id").alias("pick")
@@ -443,7 +443,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sorted_out = met.withColumn("main", F.lit(False))
     else:
         grouped = with_texts(pivot_rows(met, large)).repartition(tasks, "named", "salt").sortWithinPartitions("named", "salt", "row")
-        edges = materialise(grouped.mapInArrow(lambda b: _pivots(b, size, similarity), "u long, v long").where("u != v").distinct(), "pivots")
+        edges = materialise(grouped.mapInArrow(lean(lambda b: _pivots(b, size, similarity)), "u long, v long").where("u != v").distinct(), "pivots")
         classed = met.join(connected_components(edges).withColumnsRenamed({"node": "fp", "root": "class"}), "fp", "left")
         # Of a tile's classes the one with the most rows; a row without a class is one of the others.
         sizes = classed.where("class is not null").groupBy("named", "class").agg(F.count("*").alias("size"))
@@ -451,7 +451,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sorted_out = classed.join(largest, "named", "left").withColumn("main", F.coalesce(F.col("class") == F.col("largest"), F.lit(False))).select("named", "fp", "w0", "w1", "n", "pick", "main")
     tiles = materialise(similar_tiles(sorted_out, tile_size), "tiles")
     dealt = with_texts(tiles).repartition(tasks, "tile").sortWithinPartitions("tile")
-    found = dealt.mapInArrow(lambda b: _wide_tiles(b, radius, size, similarity), "u long, v long")
+    found = dealt.mapInArrow(lean(lambda b: _wide_tiles(b, radius, size, similarity)), "u long, v long")
     return _classes(made, nodes, found if edges is None else found.unionByName(edges))
 
 

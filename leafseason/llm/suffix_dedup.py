@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafseason.llm.common import bounded, materialise, once, ship, small_batches, text_bytes
+from leafseason.llm.common import bounded, lean, materialise, once, ship, small_batches, text_bytes
 
 ship(__name__)
 
@@ -399,10 +399,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         want = rows.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("h", "n", "k1", "k2", "lo", "ns")).alias("__want"))
         near = dealt.join(to_parts(want).hint("shuffle_hash"), on)
         # All columns go along: with fewer, the texts' exchange would not be the one that the result uses.
-        return near.mapInArrow(lambda b: extract(b, width), SEGMENTS)
+        return near.mapInArrow(lean(lambda b: extract(b, width)), SEGMENTS)
 
     def indexed(rows: DataFrame) -> DataFrame:
-        return rows.repartition("h").sortWithinPartitions("h", "k1", "k2", "lo").mapInArrow(lambda b: index_marks(b, width), MARKS)
+        return rows.repartition("h").sortWithinPartitions("h", "k1", "k2", "lo").mapInArrow(lean(lambda b: index_marks(b, width)), MARKS)
 
     def whole(level: DataFrame, counted: DataFrame) -> DataFrame:
         """The segments that occur more than once, with all of their bytes."""
@@ -415,9 +415,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         counted = materialise(counted.select("h", "c", "d", "n", "one.*", *(["seg"] if more else [])), "contents")
         return counted, materialise(counted.groupBy("h").agg(F.count("*").alias("nd")).where("nd > 1"), "several")
 
-    grams = source.select("text").mapInArrow(lambda b: count_grams(b, width), GRAMS).groupBy("h").agg(F.sum("n").alias("n"))
+    grams = source.select("text").mapInArrow(lean(lambda b: count_grams(b, width)), GRAMS).groupBy("h").agg(F.sum("n").alias("n"))
     grams = materialise(grams.where("n > 1").select("h"), "grams")
-    level = materialise(source.mapInArrow(lambda b: list_segments(b, width), ROWS).join(grams, "h"), "segments")
+    level = materialise(source.mapInArrow(lean(lambda b: list_segments(b, width)), ROWS).join(grams, "h"), "segments")
     counted, several = counts(level)
     rows = counted.join(several, "h")
     marks = [whole(level, counted), indexed(taken(rows.where(F.col("nd") <= hot), texts))]
@@ -428,7 +428,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         some = spread.join(bounded(keys, 500_000), ["__k1", "__k2"], "left_semi").repartition(*on)
         crowded = materialise(taken(crowded, some).dropDuplicates(["h", "k1", "k2", "lo"]), "crowded")
         for gram in levels(width)[1:]:
-            level = crowded.mapInArrow(lambda b, gram=gram: refile(b, width, gram), REFILED)
+            level = crowded.mapInArrow(lean(lambda b, gram=gram: refile(b, width, gram)), REFILED)
             level = materialise(level if gram < width else level.drop("seg"), "refiled")
             counted, several = counts(level, *([F.any_value("seg").alias("seg")] if gram < width else []))
             marks.append(whole(level, counted))
@@ -447,4 +447,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = to_parts(every.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("lo", "hi")).alias("__marks")))
     final = texts.join(every.hint("shuffle_hash"), on, "left")
     schema = f"__row {keyed.schema['__row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return final.select("__row", "__text", "__marks").mapInArrow(cut_texts, schema).select("__row.*", *ADDED)
+    return final.select("__row", "__text", "__marks").mapInArrow(lean(cut_texts), schema).select("__row.*", *ADDED)
